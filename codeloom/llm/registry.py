@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name and the module that has it; a module may have ``ORACLES`` by query name.
 QUERIES = {
     "op1_token_files": "op01_token_files",
+    "op4_language_id": "op04_language_id",
+    "op5_mix_sources": "op05_mixing",
     "op8_bpe": "op08_bpe",
     "op9_jaccard_join": "op09_jaccard_join",
 }
