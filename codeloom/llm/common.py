@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found if ":/" in found else f"file://{found}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once even where ``body`` uses it in a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A copy of ``df`` in the shared folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
