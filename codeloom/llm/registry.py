@@ -13,6 +13,7 @@ QUERIES = {
     "op4_language_id": "op04_language_id",
     "op5_mix_sources": "op05_mixing",
     "op6_url_filter": "op06_url_filter",
+    "op7_fingerprint": "op07_fingerprint",
     "op8_bpe": "op08_bpe",
     "op9_jaccard_join": "op09_jaccard_join",
     "op10_license_scan": "op10_license_scan",
