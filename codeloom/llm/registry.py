@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name and the module that has it; a module may have ``ORACLES`` by query name.
 QUERIES = {
     "op1_token_files": "op01_token_files",
+    "op2_embedding_dedup": "op02_embedding_dedup",
     "op3_html_text": "op03_html_text",
     "op4_language_id": "op04_language_id",
     "op5_mix_sources": "op05_mixing",
