@@ -31,8 +31,8 @@ SEQUENCE_LENGTH = 2048
 BATCH_SEQUENCES = 64
 DOCS_PER_SHARD = 4096
 MAX_SHARDS = 20_000
-CACHE_CHUNKS = 500_000
-CACHE_CHUNK_CHARS = 64
+CACHE_CHUNKS = 600_000
+CACHE_CHARS = 12_000_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]").search
 
 
@@ -59,16 +59,17 @@ class ChunkEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.row: dict[str, int] = {}
+        self.row = Rows()
         self.start = np.zeros(1024, dtype=np.int64)
         self.length = np.zeros(1024, dtype=np.int64)
         self.flat = np.zeros(8192, dtype=np.uint32)
-        self.used = 0
+        self.used = self.chars = self.met = self.missed = 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, first: int, chunks: list[str]) -> None:
+        """Gives the rows from ``first`` on the ids of ``chunks``."""
         ids = self.whole(" ".join(chunks))
         want = np.cumsum([len(c) if c.isascii() else len(lower(unicodedata.normalize("NFC", c)).encode()) for c in chunks])
         have = np.cumsum(self.n_bytes[ids])
@@ -76,20 +77,22 @@ class ChunkEncoder:
         if len(ids) == 0 or have[-1] != want[-1] or not np.array_equal(have[np.minimum(ends, len(ids)) - 1], want):
             parts = [self.whole(c) for c in chunks]
             ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
-        n, m = len(self.row), len(chunks)
-        while n + m > len(self.start):
+        last = first + len(chunks)
+        while last > len(self.start):
             self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(ids)] = ids
         begins = np.concatenate(([0], ends[:-1]))
-        self.start[n : n + m], self.length[n : n + m] = begins + self.used, ends - begins
+        self.start[first:last], self.length[first:last] = begins + self.used, ends - begins
         self.used += len(ids)
-        for i, c in enumerate(chunks):
-            self.row[c] = n + i
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text (null: none)."""
+        """The ids of each text (null: none).
+
+        A full cache keeps the chunks it has, and those of a batch only as long as the batch;
+        it starts afresh once a fifth of the chunks are missing from it.
+        """
         direct: dict[int, np.ndarray] = {}
         split: list[list[str]] = []
         for i, t in enumerate(texts):
@@ -99,30 +102,56 @@ class ChunkEncoder:
                 direct[i] = self.whole(t)
                 split.append([])
             else:
-                split.append(t.split())
-        if len(self.row) > CACHE_CHUNKS:
-            self.reset()
-        known = self.row
-        new = {c for words in split for c in words if c not in known}
+                split.append(canonical(t).split())
+        known, used = len(self.row), self.used
+        rows = [np.fromiter(map(self.row.__getitem__, w), dtype=np.int64, count=len(w)) for w in split]
+        new = self.row.new
         if new:
-            self.learn(sorted(new))
-        get = self.row.__getitem__
+            self.learn(known, new)
         out = []
-        for i, words in enumerate(split):
-            if i in direct or not words:
+        for i, own in enumerate(rows):
+            if i in direct or not len(own):
                 out.append(direct.get(i, np.zeros(0, dtype=np.uint32)))
                 continue
-            rows = np.fromiter(map(get, words), dtype=np.int64, count=len(words))
-            length = self.length[rows]
+            length = self.length[own]
             last = np.cumsum(length)
-            index = np.arange(last[-1]) + np.repeat(self.start[rows] - last + length, length)
-            out.append(self.flat[index])
-        for c in [c for c in new if len(c) > CACHE_CHUNK_CHARS]:
-            del self.row[c]
-            self.row[f"\0{len(self.row)}{uuid.uuid4().hex}"] = -1  # its number stays taken
+            out.append(self.flat[np.arange(last[-1]) + np.repeat(self.start[own] - last + length, length)])
+        self.chars += sum(map(len, new))
+        if len(self.row) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
+            for c in new:
+                del self.row[c]
+            self.chars -= sum(map(len, new))
+            self.used = used
+            self.met += sum(map(len, split))
+            self.missed += len(new)
+            if self.met > CACHE_CHUNKS and self.missed > self.met / 5:
+                self.reset()
+        self.row.new = []
         return out
 
 
+class Rows(dict):
+    """Row numbers of chunks; a chunk not met before gets the next and is noted in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
+def canonical(text: str) -> str:
+    """The text in the tokenizer's normal form, so that fewer chunks differ, or as it is where
+    that form isn't stable (a letter and mark that compose in lower case only)."""
+    if text.isascii():
+        return text.lower()
+    normal = lower(unicodedata.normalize("NFC", text))
+    return normal if unicodedata.is_normalized("NFC", normal) else text
+
+
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
