@@ -84,29 +84,36 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: floa
     order of slots and of documents within a block). A source that has run out leaves its slots
     empty; no row is dropped or repeated. Null is a source of its own. Within a source the
     order is by md5 of the doc_id, then doc_id and text; equal rows are placed next to each
-    other. Other columns are carried unless their names start with ``mix_`` or ``__``.
+    other. Other columns are carried unless their names start with ``mix_``.
     """
-    carried = [c for c in docs.columns if not c.startswith(("mix_", "__"))]
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried]).withColumn("__key", source_key())
-    table = shares(rows, weights, exponent, period)
-    slots = period_slots(table)
+    carried = [c for c in docs.columns if not c.startswith("mix_")]
+    rows = placed(docs, weights, exponent, block_docs, period)
+    return rows.select(*[F.col(f"__row.`{c}`") for c in carried], *[F.col(f"mix_{c}") for c in PLACES])
+
+
+PLACES = ("block", "weight", "release", "deadline", "slot", "position")
+
+
+def placed(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = EXPONENT, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
+    """As ``mix``, with each row whole in the struct ``__row``, so that its columns may have any names."""
     hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = rows.withColumn("__h", hashed).join(table, "__key")
+    tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), source_key().alias("__key"), hashed.alias("__h"), F.col("doc_id").alias("__id"), tie.alias("__tie"))
+    table = shares(rows.select("__key"), weights, exponent, period)
+    slots = period_slots(table)
     lead = F.conv(F.substring("__h", 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("__bucket", F.floor(lead * F.ceil(F.col("n") / _BUCKET_DOCS) / 4294967296).cast("long"))
-    thin = docs.select("doc_id", "source").withColumn("__key", source_key()).withColumn("__h", hashed).join(table, "__key")
-    thin = thin.withColumn("__bucket", F.floor(lead * F.ceil(F.col("n") / _BUCKET_DOCS) / 4294967296).cast("long"))
+    bucket = F.floor(lead * F.ceil(F.col("n") / _BUCKET_DOCS) / 4294967296).cast("long")
+    thin = rows.select("__key", "__h").join(table, "__key").withColumn("__bucket", bucket)
     before = running_total(thin.groupBy("__key", "__bucket").agg(F.count("*").alias("c")), ["__key"], "__bucket", "c").drop("c")
-    within = Window.partitionBy("__key", "__bucket").orderBy("__h", F.col("doc_id").asc_nulls_first(), *([F.xxhash64("text")] if "text" in carried else []))
+    within = Window.partitionBy("__key", "__bucket").orderBy("__h", F.col("__id").asc_nulls_first(), "__tie")
+    rows = rows.join(table, "__key").withColumn("__bucket", bucket)
     rows = rows.withColumn("__r", F.row_number().over(within) - 1).join(before, ["__key", "__bucket"])
-    rows = rows.withColumn("__i", F.col("before") + F.col("__r")).drop("before", "__r", "__bucket", "__h")
+    rows = rows.withColumn("__i", F.col("before") + F.col("__r"))
     rows = rows.withColumn("mix_block", F.floor(F.col("__i") / block_docs)).withColumn("__k", F.col("mix_block") % F.col("w"))
     rows = rows.join(slots, ["__key", "__k"]).withColumn("mix_slot", F.expr("p * (mix_block div w) + __slot"))
-    first = slot_starts(table, slots, block_docs)
-    rows = rows.join(first, "mix_slot").withColumn("mix_position", F.col("__first") + F.col("__i") % block_docs)
+    rows = rows.join(slot_starts(table, slots, block_docs), "mix_slot").withColumn("mix_position", F.col("__first") + F.col("__i") % block_docs)
     return rows.select(
-        *[F.col(f"`{c}`") for c in carried], "mix_block", (F.col("w") / F.col("p")).alias("mix_weight"),
-        F.expr("mix_block * p div w").alias("mix_release"),
+        "__row", "mix_block", (F.col("w") / F.col("p")).alias("mix_weight"), F.expr("mix_block * p div w").alias("mix_release"),
         F.expr("((mix_block + 1) * p + w - 1) div w").alias("mix_deadline"), "mix_slot", "mix_position",
     )
 
@@ -123,7 +130,7 @@ def slot_starts(table: DataFrame, slots: DataFrame, block_docs: int) -> DataFram
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
     mixed = mix(docs)
-    return mixed.select("doc_id", "source", *[F.col(f"mix_{c}").alias(c) for c in ("block", "weight", "release", "deadline", "slot", "position")])
+    return mixed.select("doc_id", "source", *[F.col(f"mix_{c}").alias(c) for c in PLACES])
 
 
 ORACLES = {
