@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import Scratch, read_table
 from codeloom.llm.op04_language_id import UNKNOWN, language, learn
-from codeloom.llm.op05_mixing import mix
+from codeloom.llm.op05_mixing import placed
 from codeloom.llm.op08_bpe import encode_documents, vocabulary_path
 from codeloom.llm.op09_jaccard_join import jaccard_components
 
@@ -41,12 +41,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix: rows within files, and files by name."""
-    mixed = mix(docs)
+    mixed = placed(docs)
     rows = docs.count()
     each = max(PART_DOCS, -(-rows // MAX_PARTS))
     part = F.expr(f"cast(mix_position div {each} as int)")
     dealt = mixed.repartitionById(max(1, -(-rows // each)), part).sortWithinPartitions("mix_position")
-    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return dealt.select("__row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
