@@ -29,7 +29,9 @@ def sessions(changes: DataFrame, gap: str = GAP) -> DataFrame:
 
 def session_paths(changes: DataFrame, gap: str = GAP) -> DataFrame:
     """The sessions with the set of changed paths that one incremental run takes."""
-    return changes.groupBy(F.session_window("ts", gap).alias("w")).agg(F.array_sort(F.collect_set(F.lower("path"))).alias("changed")).select("w.start", "w.end", "changed")
+    # A stream's sessions need a key beside the window; without repositories it is one empty text.
+    key = F.col("repository") if "repository" in changes.columns else F.substring("path", 1, 0)
+    return changes.groupBy(F.session_window("ts", gap).alias("w"), key.alias("repository")).agg(F.array_sort(F.collect_set(F.lower("path"))).alias("changed")).select("w.start", "w.end", "changed")
 
 
 def start_incremental(stream: DataFrame, store, analyze: Callable[[DataFrame, list[str]], tuple], module_id: str, checkpoint: str, delay: str = "10 minutes", gap: str = GAP):
