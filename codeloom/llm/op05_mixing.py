@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import read_table
+from codeloom.llm.common import cut, read_table
 
 BLOCK_DOCS = 16
 PERIOD = 1000
 EXPONENT = 0.5
+BROADCAST_SOURCES = 100_000
 _BUCKET_DOCS = 2000
 _BUCKET_SLOTS = 50
 _GROUP = 1000
@@ -99,14 +100,17 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, exponent: f
     hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), source_key().alias("__key"), hashed.alias("__h"), F.col("doc_id").alias("__id"), tie.alias("__tie"))
-    table = shares(rows.select("__key"), weights, exponent, period)
+    table = cut(shares(rows.select("__key"), weights, exponent, period))
+    # A join by source would bring a large one to one task; the table has a row a source.
+    if table.count() <= BROADCAST_SOURCES:
+        table = F.broadcast(table)
     slots = period_slots(table)
     lead = F.conv(F.substring("__h", 1, 8), 16, 10).cast("long")
     bucket = F.floor(lead * F.ceil(F.col("n") / _BUCKET_DOCS) / 4294967296).cast("long")
     thin = rows.select("__key", "__h").join(table, "__key").withColumn("__bucket", bucket)
     before = running_total(thin.groupBy("__key", "__bucket").agg(F.count("*").alias("c")), ["__key"], "__bucket", "c").drop("c")
     within = Window.partitionBy("__key", "__bucket").orderBy("__h", F.col("__id").asc_nulls_first(), "__tie")
-    rows = rows.join(table, "__key").withColumn("__bucket", bucket)
+    rows = rows.join(table, "__key").withColumn("__bucket", bucket).repartition("__key", "__bucket")
     rows = rows.withColumn("__r", F.row_number().over(within) - 1).join(before, ["__key", "__bucket"])
     rows = rows.withColumn("__i", F.col("before") + F.col("__r"))
     rows = rows.withColumn("mix_block", F.floor(F.col("__i") / block_docs)).withColumn("__k", F.col("mix_block") % F.col("w"))
