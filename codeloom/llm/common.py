@@ -39,9 +39,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A copy of ``df`` in the shared folder, so that lost executors cost no recomputation."""
+#: A task of a checkpoint takes so many rows at least, where their number is known to be bounded.
+ROWS_IN_TASK = 20_000
+LEAST_TASKS = 12
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A copy of ``df`` in the shared folder, so that lost executors cost no recomputation.
+
+    ``rows`` is about how many rows ``df`` has at most; small frames then take few tasks,
+    whatever the number of shuffle partitions.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_TASKS, rows // ROWS_IN_TASK))
     return df.checkpoint(eager=True)
 
 
@@ -75,6 +86,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     factor and stars vanish in two rounds. All state stays in checkpointed frames.
     """
     live = cut(edges.select("a", "b").where("a <> b").distinct())
+    n = live.count()
     steps: list[DataFrame] = []
     for _ in range(max_rounds):
         if live.isEmpty():
@@ -84,14 +96,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("id"))).alias("m")
         )
         own = F.struct(F.xxhash64("v").alias("h"), F.col("v").alias("id"))
-        image = cut(nearest.select("v", F.least(F.col("m"), own)["id"].alias("to")))
+        image = cut(nearest.select("v", F.least(F.col("m"), own)["id"].alias("to")), 2 * n)
         steps.append(image)
         first = live.join(image.withColumnRenamed("to", "x"), F.col("a") == F.col("v")).select("x", "b")
         second = first.join(image.withColumnRenamed("to", "y"), F.col("b") == F.col("v")).select("x", "y")
         live = cut(
             second.where("x <> y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .distinct()
+            .distinct(),
+            n,
         )
     else:
         raise RuntimeError("components did not converge")
@@ -100,6 +113,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     roots = steps[0].select(F.col("v").alias("id"), F.col("to").alias("root"))
     for image in steps[1:]:
         joined = roots.join(image, roots.root == image.v, "left")
-        roots = cut(joined.select("id", F.coalesce("to", "root").alias("root")))
+        roots = cut(joined.select("id", F.coalesce("to", "root").alias("root")), 2 * n)
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
-    return roots.join(cut(least), "root").select("id", "component_id")
+    return roots.join(cut(least, n), "root").select("id", "component_id")

@@ -29,8 +29,14 @@ from codeloom.llm.common import Scratch, components, cut, read_table
 
 SKETCH_BITS = 20
 MOST_MATCHES = 4
-SMALL_BUCKET = 12
-PIVOT_ROUNDS = 8
+OUTLINE = 128
+PARITY = ("b0", "b1", "b2", "b3")
+BLOOM_BITS = 23
+#: Buckets up to this size are compared pairwise; larger ones have one round of pivots, and more
+#: as long as the pairs that are left are over so many times the prefix entries (or so many rounds).
+SMALL_BUCKET = 2
+PAIRS_PER_ENTRY = 50
+PIVOT_ROUNDS = 12
 CACHE_WORDS = 400_000
 _MASK = (1 << 64) - 1
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -108,6 +114,59 @@ def key_of(tokens: np.ndarray) -> tuple[int, int]:
         return int(tokens.sum(dtype=np.uint64).view(np.int64)), int((mix(tokens) * _P1).sum(dtype=np.uint64).view(np.int64))
 
 
+def gathered(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Columns ``at`` (int) and ``v`` (long) of a frame of bounded size, as packed arrays."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"at": [batch["at"].to_numpy(np.int32).tobytes()], "v": [batch["v"].to_numpy(np.int64).tobytes()]})
+
+    rows = df.mapInPandas(pack, "at binary, v binary").collect()
+    return tuple(np.frombuffer(b"".join(bytes(r[c]) for r in rows), dtype=t) for c, t in (("at", np.int32), ("v", np.int64)))
+
+
+def outline(tokens: np.ndarray) -> bytes:
+    """How many of a set's hashes fall in each of at least ``OUTLINE`` buckets, about a sixth
+    of the set's size. Two sets share at most the sum of the smaller counts."""
+    buckets = max(OUTLINE, 1 << max(0, (len(tokens) // 6)).bit_length())
+    counts = np.bincount((tokens >> np.uint64(20) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    width = 1 if counts.max(initial=0) < 256 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def counts_of(outline: bytes) -> np.ndarray:
+    return np.frombuffer(outline, dtype=f"<u{outline[0]}", offset=1).astype(np.int64)
+
+
+def shared_at_most(x: np.ndarray, y: np.ndarray) -> int:
+    """Counts of more buckets are first folded to those of fewer."""
+    n = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, n).sum(axis=0), y.reshape(-1, n).sum(axis=0)).sum())
+
+
+def parity(tokens: np.ndarray) -> list[int]:
+    """256 bits: whether each of as many buckets holds an odd number of a set's hashes."""
+    counts = np.bincount((tokens >> np.uint64(40) & np.uint64(255)).astype(np.int64), minlength=256)
+    return np.packbits((counts & 1).astype(bool)).view(np.int64).tolist()
+
+
+def possible(pairs: DataFrame, outlines: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows (a, b) of ``pairs`` that their sets' outlines allow to link."""
+    left = pairs.join(outlines.select(F.col("doc").alias("a"), F.col("outline").alias("left")), "a")
+    both = left.join(outlines.select(F.col("doc").alias("b"), F.col("outline").alias("right")), "b").select("a", "b", "left", "right")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = np.zeros(len(batch), dtype=bool)
+            for i, (x, y) in enumerate(zip(batch["left"], batch["right"], strict=True)):
+                x, y = counts_of(x), counts_of(y)
+                shared = shared_at_most(x, y)
+                keep[i] = den * shared >= num * (int(x.sum() + y.sum()) - shared)
+            yield batch.loc[keep, ["a", "b"]]
+
+    return both.mapInPandas(run, "a long, b long")
+
+
 def corpus_rarity(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     """Levels of ``plan_prefix`` from counts of all shingles of the corpus in 2^bits buckets.
 
@@ -128,12 +187,13 @@ def corpus_rarity(docs: DataFrame, width: int, bits: int) -> np.ndarray:
             yield pd.DataFrame({"bucket": part.astype(np.int32), "n": total[part]})
 
     counts = docs.select("text").where("text is not null").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()
+    counts = cut(counts)
+    mean = (counts.agg(F.sum("n").alias("s")).first()["s"] or 0) / size
+    others = F.col("n") - (1 + mean + 3 * mean**0.5)
+    level = F.round(2 * F.log2(1 + F.greatest(others, F.lit(0.0)))).cast("long")
+    at, value = gathered(counts.select(F.col("bucket").alias("at"), level.alias("v")).where("v > 0"))
     levels = np.zeros(size, dtype=np.uint8)
-    if len(found):
-        mean = float(found["n"].sum()) / size
-        others = np.maximum(0.0, found["n"].to_numpy() - 1 - mean - 3 * np.sqrt(mean))
-        levels[found["bucket"].to_numpy()] = np.round(2 * np.log2(1 + others)).astype(np.uint8)
+    levels[at] = value.astype(np.uint8)
     return levels
 
 
@@ -158,19 +218,22 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def fits(a: str, b: str, num: int, den: int):
-    """Whether sizes, and the positions of one shared prefix shingle, allow a link."""
+    """Whether sizes, the positions of one shared prefix shingle and the parity bits, which
+    differ in no more places than the sets in elements, allow a link."""
     na, nb, pa, pb = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (a, b))
     size = F.least(na, nb) * den >= F.greatest(na, nb) * num
     most = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1)
-    return size & (most * (num + den) >= (na + nb) * num)
+    apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in PARITY), F.lit(0))
+    return size & (most * (num + den) >= (na + nb) * num) & (apart * (num + den) <= (na + nb) * (den - num))
 
 
 def bloom_bits(ids: DataFrame, bits: int) -> np.ndarray:
     """A Bloom filter of 2^bits bits with three hashes, of fixed size."""
     slots = ids.select(F.explode(F.array(*[F.shiftrightunsigned(F.xxhash64("doc", F.lit(k)), 64 - bits) for k in range(3)])).alias("at"))
-    words = slots.groupBy((F.col("at") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("on")).toPandas()
+    words = slots.groupBy((F.col("at") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("on"))
+    at, value = gathered(words.select(F.col("word").alias("at"), F.col("on").alias("v")))
     out = np.zeros(1 << (bits - 5), dtype=np.uint32)
-    out[words["word"].to_numpy()] = words["on"].to_numpy().astype(np.uint32)
+    out[at] = value.astype(np.uint32)
     return out
 
 
@@ -179,8 +242,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     ``component_id``, the smallest doc_id reachable over links, itself included.
 
     Two documents link when their sets' intersection is at least num/den of their union.
-    Null, empty and blank texts have an empty set and link with nothing. doc_id is a key: should rows share one, each row
-    has its own text's size and class. Rows without doc_id link with nothing and have a null
+    Null, empty and blank texts have an empty set and link with nothing. doc_id is a key: should rows with different
+    texts share one, each row has its own text's size and class, by the links of any of them. Rows without doc_id link with nothing and have a null
     component. Repeated rows are returned as often as they come. Only the two columns are
     read, so others may have any name.
     """
@@ -192,7 +255,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(width)
         for batch in batches:
-            n, first, second, tokens, matches = [], [], [], [], []
+            n, first, second, tokens, matches, outlines, bits = [], [], [], [], [], [], []
             for t in batch["text"]:
                 own = shingler.set(t)
                 k = key_of(own)
@@ -202,23 +265,94 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
                 second.append(k[1])
                 tokens.append(prefix.view(np.int64))
                 matches.append(best)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "k1": first, "k2": second, "prefix": tokens, "matches": matches})
+                outlines.append(outline(own))
+                bits.append(parity(own))
+            rows = {"doc_id": batch["doc_id"], "n": n, "k1": first, "k2": second, "prefix": tokens, "matches": matches, "outline": outlines}
+            yield pd.DataFrame(rows | {c: [b[i] for b in bits] for i, c in enumerate(PARITY)})
 
-    wanted = "doc_id long, n long, k1 long, k2 long, prefix array<long>, matches int"
+    wanted = "doc_id long, n int, k1 long, k2 long, prefix array<long>, matches byte, outline binary, " + ", ".join(f"{c} long" for c in PARITY)
     base = scratch.keep(docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(prefixes, wanted), "base")
     some = base.where("n > 0 and doc_id is not null")
     groups = cut(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
 
-    reps = some.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    entries = reps.select(F.col("doc_id").alias("doc"), "n", "matches", F.posexplode("prefix").alias("pos", "token"))
+    # Joined on doc_id, as on the sets' keys a large group would meet in one task.
+    rep = groups.select(F.col("rep").alias("doc_id"), F.col("k1").alias("r1"), F.col("k2").alias("r2"))
+    about = some.select("doc_id", "k1", "k2", "n", "matches", "outline", *PARITY).join(rep, "doc_id").where("k1 = r1 and k2 = r2")
+    about = about.drop("k1", "k2", "r1", "r2").withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"])
+    about = scratch.keep(about, "about")
+    outlines = about.select("doc", "outline")
+    entries = some.select(F.col("doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    live = scratch.keep(entries.join(shared.select("token"), "token"), "entries")
+    # What is known of a representative joins only entries whose shingle another one has too.
+    live = scratch.keep(entries.join(shared.select("token"), "token").join(about.drop("outline"), "doc"), "entries")
+
+    def links_among(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = cut(possible(pairs, outlines, num, den), n_live)
+        sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), width)
+        return scratch.keep(verified(pairs, sets, num, den), name)
+
+    sizes = cut(live.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > SMALL_BUCKET).withColumn("cost", F.col("size") * (F.col("size") - 1) / 2))
+    n_live = live.count()
+    most = PAIRS_PER_ENTRY * n_live
+    side = ("doc", "n", "pos", *PARITY)
+    links = joined = None
+    small, large = live, None
+    for turn in range(PIVOT_ROUNDS):
+        cost = sizes.agg(F.sum("cost").alias("s")).first()["s"] or 0
+        if cost <= (most if turn else 0):
+            break
+        if large is None:
+            small = live.join(sizes, "token", "left_anti")
+            large = cut(live.join(sizes.select("token"), "token"), n_live)
+        pivot = large.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc"), *side)).alias("p"))
+        pivot = cut(pivot.select("token", F.struct(*[f"p.{c}" for c in side]).alias("y")), n_live)
+        pairs = large.select("token", F.struct(*side).alias("x")).join(pivot, "token").where("x.doc <> y.doc").where(fits("x", "y", num, den))
+        found = links_among(cut(pairs.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct(), n_live), f"links{turn}")
+        links = found if links is None else links.unionByName(found)
+        joined = cut(components(links).select(F.col("id").alias("doc"), F.col("component_id").alias("component")), n_live)
+        left = large.join(pivot, "token").where("doc <> y.doc").drop("y")
+        named = cut(left.join(joined, "doc", "left").withColumn("component", F.coalesce("component", "doc")), n_live)
+        sizes = cut(main_components(named).where("size > most").select("token", (F.col("size") * (F.col("size") - F.col("most"))).alias("cost")), n_live)
+        large = cut(named.drop("component").join(sizes.select("token"), "token"), n_live)
+
+    if joined is None:
+        pairs = live.select("token", F.struct(*side, "matches").alias("x")).join(live.select("token", F.struct(*side, "matches").alias("y")), "token").where("x.doc < y.doc")
+    else:
+        rest = small.unionByName(large.select(small.columns)).join(joined, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        rest = scratch.keep(rest, "rest")
+        # The documents of a bucket's main component are never compared with each other.
+        main = cut(main_components(rest).where("size > most").select("token", F.col("main")))
+        rest = rest.join(main, "token").select("token", F.struct(*side, "matches", "component").alias("x"), (F.col("component") == F.col("main")).alias("inner"))
+        rest = scratch.keep(rest, "mixed")
+        other = rest.select("token", F.col("x").alias("y"), F.col("inner").alias("y_inner"))
+        pairs = rest.where("not inner").join(other, "token").where("(y_inner or x.doc < y.doc) and x.component <> y.component")
+    ends = pairs.where(fits("x", "y", num, den)).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), F.least("x.matches", "y.matches").alias("m"))
+    counted = ends.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("m").alias("least"))
+    # Every shingle two documents share is counted here, unless one of them was the bucket's
+    # pivot, and so verified against the other, or its bucket is within one component.
+    found = links_among(cut(counted.where(F.col("n") >= F.col("least")).select("a", "b")), "links")
+    links = found if links is None else links.unionByName(found)
+    joined = components(links).select(F.col("id").alias("rep"), "component_id")
+    labelled = cut(groups.join(joined, "rep", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id")))
+    return base.select("doc_id", "n", "k1", "k2").join(labelled, ["k1", "k2"], "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    )
+
 
-    ids = live.select("doc").distinct()
-    bits = 23
-    bloom = spark.sparkContext.broadcast(bloom_bits(ids, bits))
+def main_components(entries: DataFrame) -> DataFrame:
+    """For each bucket its ``size``, its most frequent component ``main`` and how often (``most``)."""
+    counts = entries.groupBy("token", "component").agg(F.count("*").alias("c"))
+    out = counts.groupBy("token").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("m"))
+    return out.select("token", "size", F.col("m.component").alias("main"), F.col("m.c").alias("most"))
 
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``doc`` and ``tokens``, the set in ascending order, of the documents in ``ids`` and of
+    those few that a Bloom filter of fixed size doesn't tell from them."""
+    spark = docs.sparkSession
+    bloom = spark.sparkContext.broadcast(bloom_bits(ids, BLOOM_BITS))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, on = Shingler(width), bloom.value
         for batch in batches:
             keep = np.ones(len(batch), dtype=bool)
@@ -228,41 +362,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
             part = batch[keep]
             yield pd.DataFrame({"doc": part["doc_id"], "tokens": [shingler.set(t).tobytes() for t in part["text"]]})
 
-    hashed = docs.where("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    hashed = hashed.select("doc_id", "text", *[F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(k)), 64 - bits).alias(f"h{k}") for k in range(3)])
-    sets = scratch.keep(hashed.mapInPandas(sets_of, "doc long, tokens binary"), "sets")
-
-    links = None
-    for turn in range(PIVOT_ROUNDS):
-        size = live.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc"), F.col("doc")))["doc"].alias("pivot"))
-        large = cut(size.where(F.col("size") > SMALL_BUCKET).select("token", "pivot"))
-        if large.isEmpty():
-            break
-        pivots = live.alias("p").join(large.alias("l"), "token").where("p.doc = l.pivot").select("token", *[F.col(f"p.{c}") for c in ("doc", "n", "pos")])
-        pairs = live.alias("x").join(cut(pivots).alias("y"), "token").where(F.col("x.doc") != F.col("y.doc")).where(fits("x", "y", num, den))
-        pairs = cut(pairs.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct())
-        found = scratch.keep(verified(pairs, sets, num, den), f"links{turn}")
-        links = found if links is None else links.unionByName(found)
-        joined = components(links).select(F.col("id").alias("doc"), F.col("component_id").alias("joined"))
-        left = live.join(large, "token", "left").where("pivot is null or pivot <> doc").drop("pivot").drop("component")
-        left = left.join(joined, "doc", "left").withColumn("component", F.coalesce("joined", "doc")).drop("joined")
-        left = cut(left)
-        mixed = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        live = scratch.keep(left.join(cut(mixed), "token"), f"live{turn}")
-    if "component" not in live.columns:
-        live = live.withColumn("component", F.col("doc"))
-
-    x, y = live.alias("x"), live.alias("y")
-    across = x.join(y, "token").where(F.col("x.doc") < F.col("y.doc")).where(F.col("x.component") != F.col("y.component")).where(fits("x", "y", num, den))
-    counted = across.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("x.matches", "y.matches")).alias("least"))
-    # A pivot that was taken out of a bucket has been verified against all of it.
-    pairs = cut(counted.where(F.col("n") >= F.col("least")).select("a", "b"))
-    found = scratch.keep(verified(pairs, sets, num, den), "links")
-    links = found if links is None else links.unionByName(found)
-    joined = components(links).select(F.col("id").alias("rep"), "component_id")
-    labelled = cut(groups.join(joined, "rep", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id")))
-    out = base.join(labelled, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out
+    rows = docs.where("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
+    hashes = [F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(k)), 64 - BLOOM_BITS).alias(f"h{k}") for k in range(3)]
+    return rows.select("doc_id", "text", *hashes).mapInPandas(run, "doc long, tokens binary")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
