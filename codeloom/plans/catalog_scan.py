@@ -120,6 +120,7 @@ QUERIES = {
     "module_replace": _sym(lambda s: _syms(sc.merge(s, _delta(s), ["module_id"]))),
     "identity_violations": _sym(lambda s: sc.identity_violations(s.unionByName(_delta(s).withColumn("file_path", F.lit("src/customers/Other.cs"))))),
     "delta_violations": _sym(lambda s: _syms(sc.delta_violations(s, "csharp-roslyn", ["src/customers/building.cs"])).where("file_path like 'geo/%' or file_path like 'src/parts/%'")),
+    "delta_violations_all": _sym(lambda s: _syms(sc.delta_violations(s, "csharp-roslyn", ["src/customers/building.cs"]))),
     "get_source": lambda spark, d: src.get_source(views.source_lines(spark, d), _path(spark, d), 1, 0),
     "get_source_window_cap": lambda spark, d: src.get_source(views.source_lines(spark, d), _path(spark, d), 2, 50, most=5),
     "fn_normalize": _sym(lambda s: s.select("id", text.normalize(F.concat(F.lit("A\\"), F.col("qualified_name"))).alias("value"))),
@@ -220,6 +221,7 @@ ORACLES = {
     "module_replace": with_views(f"SELECT {SYM} FROM sym WHERE module_id <> 'csharp-roslyn' UNION ALL SELECT {SYM} FROM d", _DELTA_SQL),
     "identity_violations": with_views("SELECT id, 'duplicate' AS problem FROM sym WHERE module_id = 'csharp-roslyn' AND file_path = 'src/customers/building.cs'"),
     "delta_violations": with_views(f"SELECT {SYM} FROM sym WHERE file_path LIKE 'geo/%' OR file_path LIKE 'src/parts/%'"),
+    "delta_violations_all": with_views(f"SELECT {SYM} FROM sym WHERE NOT (module_id = 'csharp-roslyn' AND file_path = 'src/customers/building.cs')"),
     "get_source": _source_sql(1, 0, 400),
     "get_source_window_cap": _source_sql(2, 50, 5),
     "fn_normalize": with_views("SELECT id, lower(replace('A\\' || qualified_name, '\\', '/')) AS value FROM sym"),
