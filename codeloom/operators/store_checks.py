@@ -62,13 +62,36 @@ def resolve_by_name(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return named.join(first, "name").select("edge_id", "name", "resolved_id")
 
 
-def enclosing(declarations: DataFrame, uses: DataFrame) -> DataFrame:
-    """For each use (``id``, ``file_path``, ``line``) the shortest declaration of its file around it."""
-    d = declarations.select(F.col("id").alias("owner_id"), "file_path", "start_line", "end_line")
-    u = uses.select(F.col("id").alias("edge_id"), "file_path", "line")
-    near = u.join(d, "file_path").where("line between start_line and end_line")
-    best = F.min_by("owner_id", F.struct(F.col("end_line") - F.col("start_line"), -F.col("start_line"), F.col("owner_id")))
-    return near.groupBy("edge_id").agg(best.alias("owner_id"))
+#: Blocks of 1 to 2^31 lines: any range of ints from 0 on.
+LEVELS = 32
+
+
+def enclosing(declarations: DataFrame, uses: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """For each use (``id``, ``file_path``, ``line``) the shortest declaration of its file around it.
+
+    With ``modules``, a use outside any declaration has its file's module symbol, or null where
+    the file has none; without, it is left out. A declaration is cut into the aligned blocks
+    of 2^k lines that make it up, and each line looks its blocks up, so that no file's uses meet all
+    of its declarations.
+    """
+    blocks = F.expr(
+        f"""filter(flatten(transform(sequence(0, {LEVELS - 1}), k -> transform(
+              array(named_struct('l', shiftright(cast(start_line as bigint) + shiftleft(1L, k) - 1, k), 'r', shiftright(cast(end_line as bigint) + 1, k))),
+              x -> array(named_struct('level', k, 'block', if(x.l < x.r and x.l % 2 <> 0, x.l, null)),
+                         named_struct('level', k, 'block', if(x.l < x.r and x.r % 2 <> 0, x.r - 1, null))))[0])), b -> b.block is not null)"""
+    )
+    rank = F.struct((F.col("end_line") - F.col("start_line")).alias("lines"), (-F.col("start_line")).alias("start"), F.col("id").alias("owner_id"))
+    cut = declarations.select("file_path", rank.alias("rank"), F.explode(blocks).alias("b")).select("file_path", "rank", "b.*")
+    cut = cut.groupBy("file_path", "level", "block").agg(F.min("rank").alias("rank"))
+    lines = uses.select("file_path", "line").where("line is not null").distinct()
+    up = F.expr(f"transform(sequence(0, {LEVELS - 1}), k -> named_struct('level', k, 'block', shiftright(cast(line as bigint), k)))")
+    lines = lines.select("file_path", "line", F.explode(up).alias("b")).select("file_path", "line", "b.*")
+    owners = lines.join(cut, ["file_path", "level", "block"]).groupBy("file_path", "line").agg(F.min("rank")["owner_id"].alias("owner_id"))
+    found = uses.select(F.col("id").alias("edge_id"), "file_path", "line").join(owners, ["file_path", "line"], "inner" if modules is None else "left")
+    if modules is not None:
+        own = modules.groupBy("file_path").agg(F.min("id").alias("__module"))
+        found = found.join(own, "file_path", "left").withColumn("owner_id", F.coalesce("owner_id", "__module"))
+    return found.select("edge_id", "owner_id")
 
 
 IMPORT_SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts")

@@ -114,6 +114,7 @@ QUERIES = {
     "dedupe_first": _sym(lambda s: s.withColumn("rn", F.row_number().over(Window.partitionBy("name").orderBy("module_id", "id"))).where("rn = 1").select("name", "id")),
     "resolve_by_name": _both(lambda s, r: sc.resolve_by_name(s, r.where("kind = 'contains'"))),
     "enclosing_declaration": _both(lambda s, r: sc.enclosing(s.where("kind = 'Method'"), r.where("kind = 'references'"))),
+    "enclosing_symbol": _both(lambda s, r: sc.enclosing(s.where("kind not in ('textual-evidence', 'module')"), r, s.where("kind = 'module'"))),
     "resolve_imports": _sym(lambda s: sc.resolve_imports(s)),
     "verify_parity": _sym(lambda s: sc.parity(s, s.where("id <> 'nat:000'").unionByName(s.where("id = 'nat:001'").withColumn("id", F.lit("nat:999"))))),
     "incremental_merge": _sym(lambda s: _syms(sc.merge(s, _delta(s), ["module_id", "file_path"]))),
@@ -215,6 +216,12 @@ ORACLES = {
     "dedupe_first": with_views("SELECT name, id FROM (SELECT name, id, row_number() OVER (PARTITION BY name ORDER BY module_id, id) AS rn FROM sym) q WHERE rn = 1"),
     "resolve_by_name": with_views("SELECT r.id AS edge_id, n.name, f.id AS resolved_id FROM rel r JOIN sym n ON n.id = r.target_id JOIN (SELECT name, min(id) AS id FROM sym WHERE kind <> 'module' GROUP BY 1) f ON f.name = n.name WHERE r.kind = 'contains'"),
     "enclosing_declaration": with_views("SELECT edge_id, owner_id FROM (SELECT r.id AS edge_id, s.id AS owner_id, row_number() OVER (PARTITION BY r.id ORDER BY s.end_line - s.start_line, s.start_line DESC, s.id) AS k FROM rel r JOIN sym s ON s.file_path = r.file_path AND s.kind = 'Method' AND r.line BETWEEN s.start_line AND s.end_line WHERE r.kind = 'references') q WHERE k = 1"),
+    "enclosing_symbol": with_views(
+        """SELECT r.id AS edge_id, coalesce(o.owner_id, m.id) AS owner_id FROM rel r
+        LEFT JOIN (SELECT file_path, line, id AS owner_id FROM (SELECT l.file_path, l.line, s.id, row_number() OVER (PARTITION BY l.file_path, l.line ORDER BY s.end_line - s.start_line, s.start_line DESC, s.id) AS k
+          FROM (SELECT DISTINCT file_path, line FROM rel) l JOIN sym s ON s.file_path = l.file_path AND l.line BETWEEN s.start_line AND s.end_line WHERE s.kind NOT IN ('textual-evidence', 'module')) q WHERE k = 1) o
+          ON o.file_path = r.file_path AND o.line = r.line
+        LEFT JOIN (SELECT file_path, min(id) AS id FROM sym WHERE kind = 'module' GROUP BY 1) m ON m.file_path = r.file_path"""),
     "resolve_imports": with_views(f"SELECT importer, spec, lower(spec) || '.ts' AS resolved FROM ({_IMPORT_SQL} FROM (SELECT DISTINCT regexp_replace(file_path, '^geo/', '') AS file_path FROM sym WHERE starts_with(file_path, 'geo/')) q) i"),
     "verify_parity": with_views("SELECT 'missing' AS problem, 'nat:000' AS id UNION ALL SELECT 'extra', 'nat:999'"),
     "incremental_merge": with_views(f"SELECT {SYM} FROM sym WHERE NOT (module_id = 'csharp-roslyn' AND file_path = 'src/customers/building.cs') UNION ALL SELECT {SYM} FROM d", _DELTA_SQL),
