@@ -121,12 +121,16 @@ def textual_evidence(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     return rows.where(F.col("token").rlike("[A-Z_]")).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
-def project_score(symbols: DataFrame) -> DataFrame:
-    """The twenty likeliest project files: solutions first, then the least deep."""
+def project_scores(symbols: DataFrame) -> DataFrame:
+    """The score of every file as the project to open: solutions first, then the least deep."""
     depth = F.size(F.split("file_path", "/")) - 1
     score = F.when(F.lower("file_path").endswith(".sln"), 20).otherwise(0) - F.greatest(F.lit(0), depth - 1)
-    files = symbols.select("file_path").distinct().select("file_path", score.alias("score"))
-    return files.orderBy(F.desc("score"), F.length("file_path"), "file_path").limit(20)
+    return symbols.select("file_path").distinct().select("file_path", score.alias("score"))
+
+
+def project_score(symbols: DataFrame) -> DataFrame:
+    """The first twenty of ``project_scores``."""
+    return project_scores(symbols).orderBy(F.desc("score"), F.length("file_path"), "file_path").limit(20)
 
 
 def dedupe_first(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

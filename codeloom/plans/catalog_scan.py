@@ -140,6 +140,7 @@ QUERIES = {
     "wire_json": _sym(p.wire_json),
     "textual_evidence": lambda spark, d: sc.textual_evidence(spark.read.parquet(f"{d}/documents.parquet")),
     "project_score": _sym(lambda s: sc.project_score(s)),
+    "project_scores": _sym(sc.project_scores),
     "stream_interest": lambda spark, d: views.changes(spark, d).where(text.is_source(F.col("path")) & ~text.is_excluded(F.col("path"))).groupBy("path").agg(F.count("*").alias("n")),
 }
 
@@ -245,5 +246,6 @@ ORACLES = {
     "fn_generation": "SELECT ts, strftime(ts, '%Y%m%d%H%M%S') || lpad(CAST(CAST(date_part('millisecond', ts) AS INT) % 1000 AS VARCHAR), 3, '0') AS value FROM events",
     "textual_evidence": "SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'), '\\b[A-Za-z_][A-Za-z0-9_]{3,}\\b')) AS token FROM documents) q WHERE regexp_matches(token, '[A-Z_]') GROUP BY 1, 2",
     "project_score": with_views("SELECT file_path, CASE WHEN file_path LIKE '%.sln' THEN 20 ELSE 0 END - greatest(0, len(string_split(file_path, '/')) - 2) AS score FROM (SELECT DISTINCT file_path FROM sym) q ORDER BY score DESC, length(file_path), file_path LIMIT 20"),
+    "project_scores": with_views("SELECT file_path, CASE WHEN lower(file_path) LIKE '%.sln' THEN 20 ELSE 0 END - greatest(0, len(string_split(file_path, '/')) - 2) AS score FROM (SELECT DISTINCT file_path FROM sym) q"),
     "stream_interest": "SELECT 'src/events/u' || CAST(user_id % 50 AS VARCHAR) || '.cs' AS path, count(*) AS n FROM events GROUP BY 1",
 }

@@ -33,3 +33,9 @@ def test_enclosing_falls_back_on_the_module(spark):
 def test_every_relationship_is_asked_for_its_declaration(spark):
     every = catalog.queries()["scan_relationships"](spark, SF).count()
     assert catalog.queries()["enclosing_symbol"](spark, SF).count() == every
+
+
+def test_every_file_has_a_project_score(spark):
+    rows = [(f"a/b/f{i}.cs",) for i in range(30)] * 2 + [("x/y/z.SLN",), ("r.csproj",)]
+    got = {r["file_path"]: r["score"] for r in sc.project_scores(spark.createDataFrame(rows, "file_path string")).collect()}
+    assert len(got) == 32 and got["x/y/z.SLN"] == 19 and got["r.csproj"] == 0 and got["a/b/f7.cs"] == -1
