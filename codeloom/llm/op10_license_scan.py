@@ -6,6 +6,10 @@ template if one of ``BANDS`` bands of one MinHash each agrees. The least similar
 three shingles wholly in a full window is 3/22, so at least one band agrees with
 probability 1 - (1 - 3/22)^96 > 0.999999. The exact share of the template's shingles in
 the window then decides.
+
+License texts and headers of any length have windows of their own, twice as long as the longest
+text of their size class (the longest is at most twice the shortest) and half of it apart, so that a span of one and a
+half times the longest is whole in some window. The least similarity of a text wholly in a window is then about 1/4.
 """
 
 from __future__ import annotations
@@ -38,6 +42,47 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of
+source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific
+prior written permission."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE,
+DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software,
+either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+http://mozilla.org/MPL/2.0/."""
+_GNU = "under the terms of the GNU {} as published by the Free Software Foundation{} version {} of the License"
+#: License texts, or the parts of them that name no holder, and headers. GNU headers end before "or any later version".
+TEXTS = {
+    "apache-2.0-header": _APACHE,
+    "bsd-conditions": _BSD,
+    "bsd-no-endorsement": _BSD_NAMES,
+    "isc-text": _ISC,
+    "mit-text": _MIT,
+    "mpl-2.0-header": _MPL,
+    "unlicense-text": _UNLICENSE,
+    "agpl-3.0-header": _GNU.format("Affero General Public License", ", either", 3),
+    "gpl-2.0-header": _GNU.format("General Public License", "; either", 2),
+    "gpl-2.0-header-plain": _GNU.format("General Public License", ";", 2),
+    "gpl-3.0-header": _GNU.format("General Public License", ", either", 3),
+    "gpl-3.0-header-plain": _GNU.format("General Public License", ",", 3),
+    "lgpl-2.1-header": _GNU.format("Lesser General Public License", "; either", "2.1"),
+    "lgpl-3.0-header": _GNU.format("Lesser General Public License", ", either", 3),
+}
+
 
 def words_of(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
@@ -55,34 +100,65 @@ def signature(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, k))).alias("least")))
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
+def shelves(templates: dict[str, str], texts: dict[str, str]) -> list[tuple[int, int, dict[str, str]]]:
+    """Window, stride and templates: the notices, and each size class of texts."""
+    found = [(WINDOW, STRIDE, templates)] if templates else []
+    classes: dict[int, dict[str, str]] = {}
+    for name, text in texts.items():
+        classes.setdefault(len(words_of(text)).bit_length(), {})[name] = text
+    for _, own in sorted(classes.items()):
+        longest = max(len(words_of(t)) for t in own.values())
+        found.append((2 * longest, max(1, longest // 2), own))
+    return found
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, texts: dict[str, str] | None = None) -> DataFrame:
     """One row per ``doc_id`` and license found: ``windows`` that have it, ``containment``, the
     highest share of its shingles in one window, and ``first_word``, the first such
     window's first word, from 0.
 
+    ``templates`` are notices of 3 to 13 words, ``texts`` are of 3 words or more, in windows
+    that fit their length; both without names in common. ``TEMPLATES`` and ``TEXTS`` if neither is given.
     Null and empty texts, and texts under three words, have none. Rows with the same doc_id are taken together.
     Other columns are not read.
     """
     spark = docs.sparkSession
+    if texts is None:
+        texts = TEXTS if templates is None else {}
     templates = TEMPLATES if templates is None else templates
     longest = WINDOW - STRIDE + 1
     for name, text in templates.items():
         if not SHINGLE <= len(words_of(text)) <= longest:
-            raise ValueError(f"template {name} must have {SHINGLE} to {longest} words")
-    parts = {name: [words_of(t)[i : i + SHINGLE] for i in range(len(words_of(t)) - SHINGLE + 1)] for name, t in templates.items()}
-    # A window without a shingle of any template agrees in no band and is left out at once.
-    every = F.array(*[F.xxhash64(*map(F.lit, p)) for p in dict.fromkeys(tuple(x) for own in parts.values() for x in own)])
-    shelf = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.array_distinct(F.array(*[F.xxhash64(*map(F.lit, p)) for p in own])).alias("wanted")) for k, own in parts.items()])).alias("x")).select("x.*")
-    shelf = shelf.select("license", "wanted", F.explode(signature(F.col("wanted"))).alias("s")).select("license", "wanted", "s.*")
-
-    rows = docs.select("doc_id", shingle_hashes(F.col("text")).alias("all")).where(F.arrays_overlap("all", every))
+            raise ValueError(f"template {name} must have {SHINGLE} to {longest} words; longer ones are texts")
+    for name, text in texts.items():
+        if len(words_of(text)) < SHINGLE or name in templates:
+            raise ValueError(f"text {name} must have {SHINGLE} words and a name of its own")
+    kinds = shelves(templates, texts)
+    parts = [{name: list(dict.fromkeys(zip(*[words_of(t)[k:] for k in range(SHINGLE)], strict=False))) for name, t in own.items()} for _, _, own in kinds]
+    # A window without a shingle of any template of its shelf agrees in no band and is left out at once.
+    hashed = lambda those: F.array(*[F.xxhash64(*map(F.lit, p)) for p in dict.fromkeys(those)])
+    every = [hashed(p for one in own.values() for p in one) for own in parts]
+    wanted = [F.struct(F.lit(i).alias("shelf"), F.lit(k).alias("license"), hashed(one).alias("wanted")) for i, own in enumerate(parts) for k, one in own.items()]
+    shelf = spark.range(1).select(F.explode(F.array(*wanted)).alias("x")).select("x.*")
+    shelf = shelf.select("shelf", "license", "wanted", F.explode(signature(F.col("wanted"))).alias("s")).select("shelf", "license", "wanted", "s.*")
+
     # Window starts: one more for as long as words lie beyond the last.
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("all") + (SHINGLE - 1) - WINDOW + STRIDE - 1), F.lit(STRIDE))
-    rows = rows.select("doc_id", "all", F.explode(starts).alias("start"))
-    rows = rows.select("doc_id", "start", F.slice("all", F.col("start") + 1, F.lit(WINDOW - SHINGLE + 1)).alias("own")).where(F.arrays_overlap("own", every))
-    bands = rows.select("doc_id", "start", "own", F.explode(signature(F.col("own"))).alias("s")).select("doc_id", "start", "own", "s.*")
+    def starts(i: int) -> Column:
+        window, stride, _ = kinds[i]
+        last = F.greatest(F.lit(0), F.size("all") + (SHINGLE - 1) - window + stride - 1)
+        own = F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda s: F.struct(F.lit(i).alias("shelf"), F.lit(window).alias("window"), s.alias("start")))
+        return F.when(F.arrays_overlap("all", every[i]), own).otherwise(F.slice(own, 1, 0))
+
+    rows = docs.select("doc_id", shingle_hashes(F.col("text")).alias("all")).where("all is not null")
+    rows = rows.select("doc_id", "all", F.explode(F.concat(*[starts(i) for i in range(len(kinds))])).alias("at"))
+    rows = rows.select("doc_id", "at.shelf", "at.start", F.slice("all", F.col("at.start") + 1, F.col("at.window") - SHINGLE + 1).alias("own"))
+    overlaps = F.lit(False)
+    for i, own in enumerate(every):
+        overlaps = F.when(F.col("shelf") == i, F.arrays_overlap("own", own)).otherwise(overlaps)
+    rows = rows.where(overlaps)
+    bands = rows.select("doc_id", "shelf", "start", "own", F.explode(signature(F.col("own"))).alias("s")).select("doc_id", "shelf", "start", "own", "s.*")
     # The shelf has BANDS rows a template: a fixed list.
-    met = bands.join(F.broadcast(shelf), ["band", "least"])
+    met = bands.join(F.broadcast(shelf), ["shelf", "band", "least"])
     share = F.size(F.array_intersect("own", "wanted")) / F.size("wanted")
     met = met.select("doc_id", "start", "license", share.alias("share")).where(F.col("share") >= containment)
     once = met.groupBy("doc_id", "license", "start").agg(F.max("share").alias("share"))
@@ -94,6 +170,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """SQL of the notices; no document of the test tables has one of ``TEXTS``."""
     values = ", ".join("('{}', '{}')".format(k, " ".join(words_of(t))) for k, t in TEMPLATES.items())
     return f"""
 WITH t(license, words) AS (VALUES {values}),
