@@ -1,10 +1,15 @@
 """Main text of web pages by the maximum-scoring run of tokens.
 
 A page is a sequence of words and tags. Words in running text score positive and tags, and words
-of links and lists of links, negative, with weights learned from labelled pages; blocks that
-are marked as menus, notices, adverts and the like are one negative token each and never
-part of the text. One linear scan finds the run with the highest sum. The text is that run,
-widened to the element that just holds it unless that is the page itself.
+of links and lists of links, negative, with weights learned from labelled pages. One linear scan
+finds the run with the highest sum. The text is that run, widened to the element that just holds
+it unless that is the page itself.
+
+Menus, footers, forms and the like by tag or role are one negative token each and never part of
+the text. Elements whose class or id has a word of ``MARKS`` are one negative token for the page
+around them, and a sequence of their own, with a run of its own that counts ``MARKED`` of its sum: the best run of all
+is taken. Outside other marked elements the mark is void on main and on the page's first article; and where all
+articles and main are in marked elements, on those around the first without a mark of its own.
 """
 
 from __future__ import annotations
@@ -34,6 +39,10 @@ MARKS = frozenset(
     "related recommended recommendations comment comments respond replies reply disqus discussion pagination pager copyright legal disclaimer skip hidden".split()
 )
 PAGE = frozenset(("html", "body"))
+MAIN = frozenset(("article", "main"))
+#: What the sum of a run in a marked element counts, and the least sum of one: about so many words.
+MARKED = 0.25
+LEAST_MARKED = 25.0
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>(?:.*?(?:</(?P=raw)\s*>|\Z)))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
@@ -51,28 +60,30 @@ LABELLED = [
 ]
 
 
-def marked(tag: str, rest: str, inside: list[tuple[str, bool]]) -> bool:
-    """Whether an element is set aside by its name, class, id or role."""
+def marked(tag: str, rest: str, inside: list[tuple[str, bool, int]]) -> str:
+    """``aside`` if an element is set aside by its name or role, ``class`` if its class or id has a mark, else empty."""
     if tag in ASIDE:
-        return True
-    if tag == "header" and not any(t in ("article", "main", "section") for t, _ in inside):
-        return True
+        return "aside"
+    if tag == "header" and not any(t in ("article", "main", "section") for t, *_ in inside):
+        return "aside"
     if not rest or tag in PAGE:
-        return False
+        return ""
+    found = ""
     for name, value in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return "aside"
         if name == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"):
-            return True
+            return "aside"
         if name in ("class", "id") and any(p.lower() in MARKS for p in _PARTS.findall(value)):
-            return True
-    return False
+            found = "class"
+    return found
 
 
 class Page:
     """A page's tokens: ``kinds`` to score, ``pieces`` of text (a space for a block's edge), and the
-    holders open at each token as a path of element numbers."""
+    holders open at each token as a path of element numbers; ``frames`` has the numbers of the tokens of
+    the page around its marked elements, and then of each marked element around those within it."""
 
     def __init__(self, source: str):
         self.kinds: list[str] = []
@@ -80,16 +91,33 @@ class Page:
         self.words: list[int] = []
         self.paths: list[tuple[int, ...]] = []
         self.tags: dict[int, str] = {}
-        stack: list[tuple[str, bool]] = []
+        owner: list[int] = []
+        starts: dict[int, int] = {}
+        #: The frame around each frame.
+        around = [0]
+        # Whether an article is in the page's own frame, and the frame of the first article or main without a mark.
+        article, first = False, None
+        # Open holders: tag, whether set aside, and the frame outside.
+        stack: list[tuple[str, bool, int]] = []
         path: tuple[int, ...] = ()
-        links = aside = 0
+        links = aside = frame = 0
         item = 0
+        # A marked block that closes by itself, such as a paragraph: tag, depth of the stack, and the frame outside.
+        block: tuple[str, int, int] | None = None
 
         def put(kind: str, piece: str, words: int = 0) -> None:
             self.kinds.append(kind)
             self.pieces.append(piece)
             self.words.append(words)
             self.paths.append(path)
+            owner.append(frame)
+
+        def enter() -> None:
+            nonlocal frame
+            starts[len(self.kinds)] = len(around)
+            put("aside", " ")
+            around.append(frame)
+            frame = len(around) - 1
 
         at = skip = 0
         for m in _TOKEN.finditer(source):
@@ -106,11 +134,18 @@ class Page:
             if m["end"]:
                 if tag == "a":
                     links = 0
-                if tag in HOLDERS and any(t == tag for t, _ in stack):
+                if block and not aside and tag == block[0] and len(stack) == block[1]:
+                    frame, block = block[2], None
+                    item = 0
+                    continue
+                if tag in HOLDERS and any(t == tag for t, *_ in stack):
                     while True:
-                        t, off = stack.pop()
+                        t, off, outside = stack.pop()
                         path = path[:-1]
                         aside -= off
+                        if block and len(stack) < block[1]:
+                            block = None
+                        frame = outside
                         if t == tag:
                             break
                 if tag == "li":
@@ -119,32 +154,63 @@ class Page:
                     put("/" if tag not in INLINE else "inline", "" if tag in INLINE else " ")
                 continue
             closed = m["rest"].rstrip().endswith("/")
-            off = not aside and marked(tag, m["rest"], stack)
+            if block and not aside and len(stack) == block[1] and (tag == block[0] or block[0] == "p" and tag in HOLDERS):
+                frame, block = block[2], None
+            off = "" if aside else marked(tag, m["rest"], stack)
             if tag == "a":
                 links = 1
             if tag not in INLINE:
                 item = int(tag == "li")
+            if not aside and tag in MAIN:
+                if off == "class" and not frame and (tag == "main" or not article):
+                    off = ""
+                if not off:
+                    first = frame if first is None or not frame else first
+                    article = article or tag == "article" and not frame
             if tag in HOLDERS and not closed:
                 links = 0
                 self.tags[len(self.tags)] = tag
-                if off:
+                outside = frame
+                if off == "aside":
                     put("aside", " ")
-                stack.append((tag, bool(off)))
+                elif off:
+                    enter()
+                stack.append((tag, off == "aside", outside))
                 path = (*path, len(self.tags) - 1)
-                aside += off
+                aside += off == "aside"
                 if not off and not aside:
                     put("open", " ")
             elif off and tag not in INLINE:
-                # A block that closes by itself, such as a marked paragraph, up to its end tag.
-                put("aside", " ")
-                if not closed and tag not in ("br", "hr", "img", "input", "link", "meta"):
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                    at = skip = end.end() if end else at
+                if closed or tag in ("br", "hr", "img", "input", "link", "meta"):
+                    put("aside", " ")
+                elif off == "class" and not block:
+                    outside = frame
+                    enter()
+                    block = (tag, len(stack), outside)
+                else:
+                    put("aside", " ")
+                    # A block that closes by itself, up to its end tag.
+                    if off == "aside":
+                        end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                        at = skip = end.end() if end else at
             elif not aside:
                 put(tag if tag in ("br", "p", "li") or tag in INLINE and tag == "a" else "inline" if tag in INLINE else "heading" if re.fullmatch("h[1-6]", tag) else "open", "" if tag in INLINE else " ")
         if at < len(source) and not aside:
             text = html.unescape(source[at:])
             put("word" if text.split() else "space", text, len(text.split()))
+        void: set[int] = set()
+        while first:
+            void.add(first)
+            first = around[first]
+        holds = list(range(len(around)))
+        for k in range(1, len(around)):
+            if k in void:
+                holds[k] = holds[around[k]]
+        self.frames: list[list[int]] = [[] for _ in around]
+        for i, k in enumerate(owner):
+            self.frames[holds[k]].append(i)
+            if starts.get(i) in void:
+                self.kinds[i] = "open"
 
 
 def learn(labelled: list[str]) -> dict[str, float]:
@@ -173,6 +239,11 @@ WEIGHTS = learn(LABELLED)
 def best_run(scores: list[float]) -> tuple[int, int]:
     """First and last token of the run with the highest sum, the first and longest of equals;
     (0, -1) if no sum is positive."""
+    return best_sum(scores)[1:]
+
+
+def best_sum(scores: list[float]) -> tuple[float, int, int]:
+    """The highest sum, 0 if none is positive, and its run as in ``best_run``."""
     best, found, total, start = 0.0, (0, -1), 0.0, 0
     for i, s in enumerate(scores):
         if total < 0:
@@ -180,7 +251,7 @@ def best_run(scores: list[float]) -> tuple[int, int]:
         total += s
         if total > best:
             best, found = total, (start, i)
-    return found
+    return best, *found
 
 
 def main_text(source: str | None, weights: dict[str, float] | None = None) -> str:
@@ -189,19 +260,26 @@ def main_text(source: str | None, weights: dict[str, float] | None = None) -> st
         return ""
     weights = WEIGHTS if weights is None else weights
     page = Page(source)
-    scores = [weights.get(k, -0.25) * (n or 1) for k, n in zip(page.kinds, page.words, strict=True)]
-    first, last = best_run(scores)
-    if last < first:
+    most, found = 0.0, None
+    for k, frame in enumerate(page.frames):
+        best, first, last = best_sum([weights.get(page.kinds[i], -0.25) * (page.words[i] or 1) for i in frame])
+        if k:
+            best = best * MARKED if best >= LEAST_MARKED else 0.0
+        if best > most:
+            most, found = best, (frame, first, last)
+    if found is None:
         return ""
-    common = page.paths[first]
-    for i in range(first, last + 1):
+    frame, first, last = found
+    common = page.paths[frame[first]]
+    for i in frame[first : last + 1]:
         path = page.paths[i]
         while path[: len(common)] != common:
             common = common[:-1]
+    held = frame[first : last + 1]
     if common and page.tags[common[-1]] not in PAGE:
-        held = [i for i, path in enumerate(page.paths) if path[: len(common)] == common]
-        first, last = held[0], held[-1]
-    return " ".join("".join(page.pieces[first : last + 1]).split())
+        within = [i for i in frame if page.paths[i][: len(common)] == common]
+        held = [i for i in frame if within[0] <= i <= within[-1]]
+    return " ".join("".join(page.pieces[i] for i in held).split())
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), source: str = "html") -> DataFrame:
