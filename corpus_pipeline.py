@@ -31,12 +31,18 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of documents connected by a Jaccard similarity of 0.8 or more on five-word
-    shingles, the one with the smallest doc_id, and all that link with none. Of rows that
-    share that doc_id one stays; rows without doc_id stay."""
-    found = jaccard_components(docs, width=5, num=80, den=100)
-    kept = found.where("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    one = docs.join(kept, docs["doc_id"] == kept["__id"]).drop("__id").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    shingles, the one with the smallest doc_id, and all that link with none. Rows that share
+    a doc_id are one document only where their texts are equal, and then one row stays; rows without
+    doc_id stay. Documents are told apart by a 64-bit hash of both."""
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)), F.col("text").isNull()))
+    known = keyed.where("doc_id is not null")
+    found = jaccard_components(known.select(F.col("__key").alias("doc_id"), "text"), width=5, num=80, den=100)
+    found = found.select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    ids = known.select("__key", F.col("doc_id").alias("__id")).distinct()
+    # A large group's minimum is found by partial aggregation.
+    kept = found.join(ids, "__key").groupBy("component_id").agg(F.min(F.struct("__id", "__key"))["__key"].alias("__kept"))
+    one = known.join(kept, known["__key"] == kept["__kept"]).dropDuplicates(["__key"])
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
