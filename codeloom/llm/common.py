@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,28 +77,51 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: So many edges at most are joined in one task; more are contracted first.
+EDGES_IN_TASK = 500_000
+
+
+def joined_in_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of all edges (``a``, ``b``) of a partition by union-find."""
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        parent.setdefault(v, v)
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    if parent:
+        yield pd.DataFrame({"id": list(parent), "component_id": [root(v) for v in parent]})
+
+
+def components(edges: DataFrame, most: int = EDGES_IN_TASK, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph by contraction.
 
     ``edges`` has long columns ``a`` and ``b``. Returns one row per vertex that has an
     edge to another vertex: ``id`` and ``component_id``, the smallest vertex reachable.
-    Each round maps every vertex to the neighbour (or itself) first in a pseudo-random
-    order and keeps the edges between different images, so paths shrink by a constant
-    factor and stars vanish in two rounds. All state stays in checkpointed frames.
+    While there are over ``most`` edges, a round maps every vertex to the neighbour (or itself)
+    first in a pseudo-random order and keeps the edges between different images, so paths
+    shrink by a constant factor and stars vanish in two rounds. The edges left then fit in
+    one task. All state stays in checkpointed frames.
     """
     live = cut(edges.select("a", "b").where("a <> b").distinct())
     n = live.count()
-    steps: list[DataFrame] = []
+    if n <= most:
+        return cut(live.coalesce(1).mapInPandas(joined_in_one, "id long, component_id long"))
+    roots, left = None, n
     for _ in range(max_rounds):
-        if live.isEmpty():
-            break
         both = live.select("a", "b").union(live.select(F.col("b"), F.col("a")))
         nearest = both.groupBy(F.col("a").alias("v")).agg(
             F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("id"))).alias("m")
         )
         own = F.struct(F.xxhash64("v").alias("h"), F.col("v").alias("id"))
         image = cut(nearest.select("v", F.least(F.col("m"), own)["id"].alias("to")), 2 * n)
-        steps.append(image)
+        roots = image.select(F.col("v").alias("id"), F.col("to").alias("root")) if roots is None else through(roots, image, "v", "to", n)
         first = live.join(image.withColumnRenamed("to", "x"), F.col("a") == F.col("v")).select("x", "b")
         second = first.join(image.withColumnRenamed("to", "y"), F.col("b") == F.col("v")).select("x", "y")
         live = cut(
@@ -106,13 +130,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct(),
             n,
         )
+        left = live.count()
+        if left <= most:
+            break
     else:
         raise RuntimeError("components did not converge")
-    if not steps:
-        return live.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
-    roots = steps[0].select(F.col("v").alias("id"), F.col("to").alias("root"))
-    for image in steps[1:]:
-        joined = roots.join(image, roots.root == image.v, "left")
-        roots = cut(joined.select("id", F.coalesce("to", "root").alias("root")), 2 * n)
+    if left:
+        image = cut(live.coalesce(1).mapInPandas(joined_in_one, "id long, component_id long"))
+        roots = through(roots, image.withColumnRenamed("id", "v"), "v", "component_id", n)
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
     return roots.join(cut(least, n), "root").select("id", "component_id")
+
+
+def through(roots: DataFrame, image: DataFrame, key: str, to: str, n: int) -> DataFrame:
+    """``roots`` (``id``, ``root``) with each root replaced by its image, where it has one."""
+    joined = roots.join(image, roots.root == image[key], "left")
+    return cut(joined.select("id", F.coalesce(to, "root").alias("root")), 2 * n)

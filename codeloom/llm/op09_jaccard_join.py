@@ -1,15 +1,22 @@
 """Exact n-gram Jaccard join with adaptive multi-match prefixes.
 
-Shingles are in one global order, rare first by a fixed-width count of the corpus. If two
+Shingles are in one global order, rare first by their exact number of documents. If two
 sets link, their l-prefixes (the first n - ceil(t n) + l shingles) share at least l shingles,
 for every l. Each document takes the l that its estimated candidate cost makes cheapest,
 and a pair is verified only if it shares as many prefix shingles as the smaller of its two l.
 
-Documents with equal sets are one representative. The result needs the components of the
-link graph, not its edges, so large prefix buckets are first thinned: one pivot a bucket
-is verified against the rest of its bucket, which joins groups of copies by stars. Buckets
-inside one component need no further comparison. What remains is joined pairwise across
-components, so no link that could join two components is lost.
+Texts are read once. Each task turns its documents into batches; the distinct shingles of a
+batch go, packed by hash range, to the tasks that count them, and those that a second
+document has come back to the batch. Shingles of one document only take part in a set's size
+and in positions, but not in any intersection, so what came back is enough for the
+prefixes and for exact verification.
+
+Documents with equal sets are one node. The result needs the components of the link graph,
+not its edges, so each prefix bucket first has one pivot, the node with the fewest rarer
+shingles, verified against the rest, which joins groups of copies by stars. Buckets within one
+component need no further comparison. What remains is joined pairwise across components,
+and the nodes of a bucket's main component are never joined with each other. No link that
+could join two components is lost.
 
 Shingles are 64-bit hashes. Two different shingles of one pair of documents are taken as
 equal with a probability of about n^2 / 2^64.
@@ -25,20 +32,24 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, components, cut, read_table
+from codeloom.llm.common import Scratch, components, read_table
 
-SKETCH_BITS = 20
 MOST_MATCHES = 4
-OUTLINE = 128
-PARITY = ("b0", "b1", "b2", "b3")
-BLOOM_BITS = 23
-#: Buckets up to this size are compared pairwise; larger ones have one round of pivots, and more
-#: as long as the pairs that are left are over so many times the prefix entries (or so many rounds).
-SMALL_BUCKET = 2
-PAIRS_PER_ENTRY = 50
-PIVOT_ROUNDS = 12
+PARITY = tuple(f"b{i}" for i in range(8))
+#: After a round of pivots there is another as long as the pairs that are left are over so many times
+#: the prefix entries, but no more rounds than that.
+PAIRS_PER_ENTRY = 64
+PIVOT_ROUNDS = 6
 CACHE_WORDS = 400_000
-_MASK = (1 << 64) - 1
+#: Bounds of a batch, whose documents have 16-bit numbers.
+BATCH_TOKENS = 2_000_000
+BATCH_DOCS = 60_000
+#: A shingle that so many documents of a batch have is counted without naming them.
+COMMON = 8
+#: A hash range holds the shingles of about so many bytes of text; a task has one range, or more
+#: in turn where there would be over ``MOST_TASKS`` tasks.
+RANGE_BYTES = 4 << 20
+LEAST_TASKS, MOST_TASKS = 32, 1 << 15
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -88,133 +99,216 @@ def ceil_share(n, num: int, den: int):
     return -(-num * n // den)
 
 
-def plan_prefix(tokens: np.ndarray, rarity: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
-    """The document's prefix in the global order and its number of matches l.
-
-    ``rarity`` has for each hash bucket twice the binary logarithm of how many other
-    documents are expected to share a shingle. A prefix of l matches reads as many bucket
-    entries as its shingles have sharers; at most a l-th part of them are candidates, each
-    of which costs a comparison of whole sets.
-    """
-    levels = rarity[(tokens & np.uint64(len(rarity) - 1)).astype(np.int64)]
-    order = np.argsort(levels.astype(np.uint64) << np.uint64(56) | tokens >> np.uint64(8), kind="stable")
-    n = len(tokens)
-    base = n - ceil_share(n, num, den)
-    most = min(MOST_MATCHES, n - base)
-    sharers = np.exp2(levels[order[: base + most]] / 2.0) - 1
-    read = np.cumsum(sharers)[base : base + most]
-    matches = np.arange(1, most + 1)
-    cost = read + (8 + n / 8) * read / matches
-    best = int(np.argmin(cost)) + 1
-    return tokens[order[: base + best]], best
-
-
 def key_of(tokens: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         return int(tokens.sum(dtype=np.uint64).view(np.int64)), int((mix(tokens) * _P1).sum(dtype=np.uint64).view(np.int64))
 
 
-def gathered(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Columns ``at`` (int) and ``v`` (long) of a frame of bounded size, as packed arrays."""
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"at": [batch["at"].to_numpy(np.int32).tobytes()], "v": [batch["v"].to_numpy(np.int64).tobytes()]})
-
-    rows = df.mapInPandas(pack, "at binary, v binary").collect()
-    return tuple(np.frombuffer(b"".join(bytes(r[c]) for r in rows), dtype=t) for c, t in (("at", np.int32), ("v", np.int64)))
-
-
-def outline(tokens: np.ndarray) -> bytes:
-    """How many of a set's hashes fall in each of at least ``OUTLINE`` buckets, about a sixth
-    of the set's size. Two sets share at most the sum of the smaller counts."""
-    buckets = max(OUTLINE, 1 << max(0, (len(tokens) // 6)).bit_length())
-    counts = np.bincount((tokens >> np.uint64(20) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-    width = 1 if counts.max(initial=0) < 256 else 4
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
-
-
-def counts_of(outline: bytes) -> np.ndarray:
-    return np.frombuffer(outline, dtype=f"<u{outline[0]}", offset=1).astype(np.int64)
-
-
-def shared_at_most(x: np.ndarray, y: np.ndarray) -> int:
-    """Counts of more buckets are first folded to those of fewer."""
-    n = min(len(x), len(y))
-    return int(np.minimum(x.reshape(-1, n).sum(axis=0), y.reshape(-1, n).sum(axis=0)).sum())
-
-
-def parity(tokens: np.ndarray) -> list[int]:
-    """256 bits: whether each of as many buckets holds an odd number of a set's hashes."""
-    counts = np.bincount((tokens >> np.uint64(40) & np.uint64(255)).astype(np.int64), minlength=256)
-    return np.packbits((counts & 1).astype(bool)).view(np.int64).tolist()
-
-
-def possible(pairs: DataFrame, outlines: DataFrame, num: int, den: int) -> DataFrame:
-    """The rows (a, b) of ``pairs`` that their sets' outlines allow to link."""
-    left = pairs.join(outlines.select(F.col("doc").alias("a"), F.col("outline").alias("left")), "a")
-    both = left.join(outlines.select(F.col("doc").alias("b"), F.col("outline").alias("right")), "b").select("a", "b", "left", "right")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = np.zeros(len(batch), dtype=bool)
-            for i, (x, y) in enumerate(zip(batch["left"], batch["right"], strict=True)):
-                x, y = counts_of(x), counts_of(y)
-                shared = shared_at_most(x, y)
-                keep[i] = den * shared >= num * (int(x.sum() + y.sum()) - shared)
-            yield batch.loc[keep, ["a", "b"]]
-
-    return both.mapInPandas(run, "a long, b long")
-
+def planes(tokens: np.ndarray) -> bytes:
+    """Hashes byte plane by byte plane: those of a sorted range have leading planes that compress."""
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8).T).tobytes()
+
 
-def corpus_rarity(docs: DataFrame, width: int, bits: int) -> np.ndarray:
-    """Levels of ``plan_prefix`` from counts of all shingles of the corpus in 2^bits buckets.
-
-    The counts have a fixed size (one byte a bucket reaches the workers). They only choose
-    the order of shingles, which any value leaves exact.
+def tokens_of(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
+    return ((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def slots(counts: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Which elements of lists of ``counts`` elements, one behind another, are in lists to keep."""
+    return np.repeat(keep, counts)
+
+
+def level_of(documents: np.ndarray) -> np.ndarray:
+    """A byte that grows with the number of documents: exact up to 64, then its logarithm."""
+    logs = 64 + 6 * np.log2(np.maximum(documents, 64) / 64)
+    return np.minimum(255, np.where(documents <= 64, documents, logs)).astype(np.uint8)
+
+
+def documents_of(levels: np.ndarray) -> np.ndarray:
+    """About how many documents a level stands for."""
+    levels = levels.astype(np.float64)
+    return np.where(levels <= 64, levels, 64 * 2 ** ((levels - 64) / 6))
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """512 bits: whether each of as many buckets holds an odd number of a set's hashes."""
+    counts = np.bincount((tokens >> np.uint64(40) & np.uint64(511)).astype(np.int64), minlength=512)
+    return np.packbits((counts & 1).astype(bool)).view(np.int64)
+
+
+class Batches:
+    """Cuts documents into batches and packs each as rows (``range``, ``batch``, ``tokens``, ``counts``,
+    ``owners``): one a hash range, and with range -1 what the batch itself needs of its documents."""
+
+    def __init__(self, width: int, ranges: int, partition: int):
+        self.shingler, self.ranges, self.next = Shingler(width), ranges, partition << 32
+        self.ids: list[int | None] = []
+        self.sets: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, doc_id: int | None, text: str | None) -> None:
+        own = self.shingler.set(text)
+        self.ids.append(doc_id)
+        self.sets.append(own)
+        self.size += len(own)
+
+    def full(self) -> bool:
+        return self.size >= BATCH_TOKENS or len(self.ids) >= BATCH_DOCS
+
+    def rows(self) -> pd.DataFrame:
+        ids, sets = self.ids, self.sets
+        n = np.array([len(x) for x in sets], dtype=np.int64)
+        tokens = np.concatenate(sets)
+        owners = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[order], owners[order]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, dtype=np.int64)
+        counts = np.diff(np.append(first, len(tokens)))
+        distinct, common = tokens[first], counts >= COMMON
+        about = {"id": np.array([x or 0 for x in ids], dtype=np.int64), "null": np.array([x is None for x in ids]), "n": n}
+        keys = np.array([key_of(x) for x in sets], dtype=np.int64).reshape(-1, 2)
+        bits = np.array([parity(x) for x in sets], dtype=np.int64).reshape(-1, len(PARITY))
+        payload = b"".join(np.ascontiguousarray(x).tobytes() for x in (about["id"], about["null"], n, keys, bits))
+        out = [(-1, self.next, planes(distinct[common]), counts[common].astype("<u4").tobytes(), owners[slots(counts, common)].tobytes(), payload)]
+        named = np.where(common, 0, counts)
+        ends = np.cumsum(named)
+        few = owners[slots(counts, ~common)]
+        at = range_of(distinct, self.ranges)
+        cuts = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            part = few[ends[lo] - named[lo] : ends[hi - 1]]
+            out.append((int(at[lo]), self.next, planes(distinct[lo:hi]), counts[lo:hi].astype("<u4").tobytes(), part.tobytes(), None))
+        self.next, self.ids, self.sets, self.size = self.next + 1, [], [], 0
+        return pd.DataFrame(out, columns=PACKED_COLUMNS)
+
+
+PACKED_COLUMNS = ["range", "batch", "tokens", "counts", "owners", "about"]
+PACKED = "range long, batch long, tokens binary, counts binary, owners binary, about binary"
+COUNTED = "batch long, tokens binary, counts binary, owners binary, levels binary, about binary"
+
+
+def counted(rows: list[tuple]) -> pd.DataFrame:
+    """The rows of one hash range, with only those shingles that two documents have, and their levels."""
+    tokens = [tokens_of(r[2]) for r in rows]
+    counts = [np.frombuffer(r[3], dtype="<u4").astype(np.int64) for r in rows]
+    _, of = np.unique(np.concatenate(tokens), return_inverse=True)
+    total = np.bincount(of, weights=np.concatenate(counts))[of]
+    out, at = [], 0
+    for row, t, c in zip(rows, tokens, counts, strict=True):
+        documents = total[at : at + len(t)]
+        at += len(t)
+        keep = documents > 1
+        named = np.where(c >= COMMON, 0, c)
+        owners = np.frombuffer(row[4], dtype=np.uint16)[slots(named, keep)]
+        if keep.any():
+            out.append((row[1], planes(t[keep]), named[keep].astype(np.uint8).tobytes(), owners.tobytes(), level_of(documents[keep]).tobytes(), None))
+    return pd.DataFrame(out, columns=["batch", "tokens", "counts", "owners", "levels", "about"])
+
+
+def count_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts each hash range of a partition that is sorted by range; what is for the batch itself passes."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            if row.range < 0:
+                yield pd.DataFrame([(row.batch, row.tokens, row.counts, row.owners, None, row.about)], columns=["batch", "tokens", "counts", "owners", "levels", "about"])
+                continue
+            if held and held[0][0] != row.range:
+                yield counted(held)
+                held = []
+            held.append(tuple(row))
+    if held:
+        yield counted(held)
+
+
+def plan_prefix(n: int, documents: np.ndarray, num: int, den: int) -> tuple[int, int]:
+    """How many of a set's shared shingles are in its prefix, and the prefix's number of matches l.
+
+    ``documents`` has how many documents share each of those shingles of the set of size ``n``
+    that any other document has, in the global order; the rest come before them. A prefix
+    of l matches reads as many bucket entries as its shingles have sharers; at most an l-th
+    part of them are candidates, each of which costs a comparison of whole sets.
     """
-    size = 1 << bits
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, total = Shingler(width), np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            sets = [shingler.set(t) for t in batch["text"]]
-            if sets:
-                total += np.bincount((np.concatenate(sets) & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        used = np.flatnonzero(total)
-        for lo in range(0, len(used), 1 << 16):
-            part = used[lo : lo + (1 << 16)]
-            yield pd.DataFrame({"bucket": part.astype(np.int32), "n": total[part]})
-
-    counts = docs.select("text").where("text is not null").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counts = cut(counts)
-    mean = (counts.agg(F.sum("n").alias("s")).first()["s"] or 0) / size
-    others = F.col("n") - (1 + mean + 3 * mean**0.5)
-    level = F.round(2 * F.log2(1 + F.greatest(others, F.lit(0.0)))).cast("long")
-    at, value = gathered(counts.select(F.col("bucket").alias("at"), level.alias("v")).where("v > 0"))
-    levels = np.zeros(size, dtype=np.uint8)
-    levels[at] = value.astype(np.uint8)
-    return levels
-
-
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose sets link: den * intersection >= num * union."""
-    left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("left")), "a")
-    both = left.join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("right")), "b").select("a", "b", "left", "right")
+    base = n - ceil_share(n, num, den)
+    matches = np.arange(1, min(MOST_MATCHES, n - base) + 1)
+    ends = np.clip(base + matches - (n - len(documents)), 0, None)
+    read = np.concatenate([[0], np.cumsum(documents - 1)])[ends]
+    best = int(np.argmin(read + (8 + n / 8) * read / matches))
+    return int(ends[best]), best + 1
+
+
+SETS = "doc_id long, n int, k1 long, k2 long, matches byte, shared array<long>, prefix array<long>, pos array<int>, " + ", ".join(f"{c} long" for c in PARITY)
+
+
+def assembled(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """One row per document of a batch. ``shared`` has, in ascending order, the shingles that any
+    other document has; ``prefix`` those of them in the prefix, and ``pos`` their places
+    in the global order. The three are null if the prefix has none."""
+    own = rows[rows["about"].notna()].iloc[0]
+    each = 8 * (1 + 1 + 2 + len(PARITY)) + 1
+    size = len(own["about"]) // each
+    cuts = np.cumsum([0, 8 * size, size, 8 * size, 16 * size, 8 * len(PARITY) * size])
+    ids, null, n, keys, bits = (np.frombuffer(own["about"][a:b], dtype=t) for a, b, t in zip(cuts[:-1], cuts[1:], (np.int64, bool, np.int64, np.int64, np.int64), strict=True))
+    tokens, levels, owners = [], [], []
+    common = tokens_of(own["tokens"])
+    common_counts = np.frombuffer(own["counts"], dtype="<u4").astype(np.int64)
+    common_levels = np.zeros(len(common), dtype=np.uint8)
+    for r in rows[rows["about"].isna()].itertuples(index=False):
+        t, c, v = tokens_of(r.tokens), np.frombuffer(r.counts, dtype=np.uint8), np.frombuffer(r.levels, dtype=np.uint8)
+        common_levels[np.searchsorted(common, t[c == 0])] = v[c == 0]
+        tokens.append(np.repeat(t, c))
+        levels.append(np.repeat(v, c))
+        owners.append(np.frombuffer(r.owners, dtype=np.uint16))
+    token = np.concatenate([*tokens, np.repeat(common, common_counts)])
+    level = np.concatenate([*levels, np.repeat(common_levels, common_counts)])
+    owner = np.concatenate([*owners, np.frombuffer(own["owners"], dtype=np.uint16)])
+    order = np.lexsort((token, level, owner))
+    token, documents = token[order], documents_of(level[order])
+    ends = np.cumsum(np.bincount(owner, minlength=size))
+    out = {c: [None] * size for c in ("shared", "prefix", "pos")}
+    matches, live = np.zeros(size, dtype=np.int8), np.zeros(size, dtype=bool)
+    base = n - ceil_share(n, num, den)
+    held = np.diff(ends, prepend=0)
+    for i in np.flatnonzero((n > 0) & (base + 1 > n - held)).tolist():
+        mine = slice(ends[i] - held[i], ends[i])
+        k, matches[i] = plan_prefix(int(n[i]), documents[mine], num, den)
+        own_tokens = token[mine].view(np.int64)
+        out["shared"][i] = np.sort(own_tokens)
+        out["prefix"][i] = own_tokens[:k]
+        out["pos"][i] = np.arange(k, dtype=np.int32) + np.int32(n[i] - held[i])
+        live[i] = True
+    keys, bits = keys.reshape(-1, 2), np.where(live[:, None], bits.reshape(-1, len(PARITY)), 0)
+    found = {"doc_id": pd.array(np.where(null, 0, ids), dtype="Int64"), "n": n.astype(np.int32), "k1": keys[:, 0], "k2": keys[:, 1], "matches": matches} | out
+    found["doc_id"][null] = pd.NA
+    return pd.DataFrame(found | {c: bits[:, i] for i, c in enumerate(PARITY)})
+
+
+def shingle_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """A row of ``SETS`` per row of ``docs`` (``doc_id``, ``text``)."""
+    bytes_read = docs.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
+    ranges = max(LEAST_TASKS, bytes_read // RANGE_BYTES)
+    tasks = min(MOST_TASKS, ranges)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for batch in batches:
-            keep = np.zeros(len(batch), dtype=bool)
-            for i, (x, y) in enumerate(zip(batch["left"], batch["right"], strict=True)):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                shared = int((y[at] == x).sum())
-                keep[i] = den * shared >= num * (len(x) + len(y) - shared)
-            yield batch.loc[keep, ["a", "b"]]
+            for doc_id, text, partition in zip(batch["id"], batch["text"], batch["at"], strict=True):
+                held = held or Batches(width, ranges, int(partition))
+                held.add(None if pd.isna(doc_id) else int(doc_id), text)
+                if held.full():
+                    yield held.rows()
+        if held and held.ids:
+            yield held.rows()
 
-    return both.mapInPandas(run, "a long, b long")
+    read = docs.select(F.col("doc_id").cast("long").cast("string").alias("id"), "text", F.spark_partition_id().alias("at"))
+    packed = read.mapInPandas(pack, PACKED)
+    to = F.when(F.col("range") < 0, F.pmod("batch", F.lit(tasks))).otherwise(F.pmod("range", F.lit(tasks))).cast("int")
+    dealt = packed.repartitionById(tasks, to).sortWithinPartitions("range")
+    return dealt.mapInPandas(count_ranges, COUNTED).groupBy("batch").applyInPandas(lambda rows: assembled(rows, num, den), SETS)
 
 
 def fits(a: str, b: str, num: int, den: int):
@@ -227,116 +321,85 @@ def fits(a: str, b: str, num: int, den: int):
     return size & (most * (num + den) >= (na + nb) * num) & (apart * (num + den) <= (na + nb) * (den - num))
 
 
-def bloom_bits(ids: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of 2^bits bits with three hashes, of fixed size."""
-    slots = ids.select(F.explode(F.array(*[F.shiftrightunsigned(F.xxhash64("doc", F.lit(k)), 64 - bits) for k in range(3)])).alias("at"))
-    words = slots.groupBy((F.col("at") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("on"))
-    at, value = gathered(words.select(F.col("word").alias("at"), F.col("on").alias("v")))
-    out = np.zeros(1 << (bits - 5), dtype=np.uint32)
-    out[at] = value.astype(np.uint32)
-    return out
+def verified(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose sets link: den * intersection >= num * union."""
+    x, y = (nodes.select(F.col("node").alias(v), F.struct("n", "shared").alias(s)) for v, s in (("a", "x"), ("b", "y")))
+    both = pairs.join(x, "a").join(y, "b").withColumn("same", F.size(F.array_intersect("x.shared", "y.shared")))
+    return both.where(den * F.col("same") >= num * (F.col("x.n") + F.col("y.n") - F.col("same"))).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, pairs_per_entry: int = PAIRS_PER_ENTRY) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``): ``doc_id``, ``n_shingles`` and
     ``component_id``, the smallest doc_id reachable over links, itself included.
 
     Two documents link when their sets' intersection is at least num/den of their union.
-    Null, empty and blank texts have an empty set and link with nothing. doc_id is a key: should rows with different
-    texts share one, each row has its own text's size and class, by the links of any of them. Rows without doc_id link with nothing and have a null
-    component. Repeated rows are returned as often as they come. Only the two columns are
-    read, so others may have any name.
+    Null, empty and blank texts have an empty set and link with nothing. Rows that share a doc_id
+    are documents of their own, each with its own text's size and class. Rows without doc_id
+    link with nothing and have a null component. Repeated rows are returned as often as they come,
+    an empty table gives an empty one, and texts of any length are one set each. Only the two
+    columns are read, so others may have any name.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select("doc_id", "text")
-    rarity = spark.sparkContext.broadcast(corpus_rarity(docs, width, sketch_bits))
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(width)
-        for batch in batches:
-            n, first, second, tokens, matches, outlines, bits = [], [], [], [], [], [], []
-            for t in batch["text"]:
-                own = shingler.set(t)
-                k = key_of(own)
-                prefix, best = plan_prefix(own, rarity.value, num, den) if len(own) else (own, 0)
-                n.append(len(own))
-                first.append(k[0])
-                second.append(k[1])
-                tokens.append(prefix.view(np.int64))
-                matches.append(best)
-                outlines.append(outline(own))
-                bits.append(parity(own))
-            rows = {"doc_id": batch["doc_id"], "n": n, "k1": first, "k2": second, "prefix": tokens, "matches": matches, "outline": outlines}
-            yield pd.DataFrame(rows | {c: [b[i] for b in bits] for i, c in enumerate(PARITY)})
-
-    wanted = "doc_id long, n int, k1 long, k2 long, prefix array<long>, matches byte, outline binary, " + ", ".join(f"{c} long" for c in PARITY)
-    base = scratch.keep(docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(prefixes, wanted), "base")
-    some = base.where("n > 0 and doc_id is not null")
-    groups = cut(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
-
-    # Joined on doc_id, as on the sets' keys a large group would meet in one task.
-    rep = groups.select(F.col("rep").alias("doc_id"), F.col("k1").alias("r1"), F.col("k2").alias("r2"))
-    about = some.select("doc_id", "k1", "k2", "n", "matches", "outline", *PARITY).join(rep, "doc_id").where("k1 = r1 and k2 = r2")
-    about = about.drop("k1", "k2", "r1", "r2").withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"])
-    about = scratch.keep(about, "about")
-    outlines = about.select("doc", "outline")
-    entries = some.select(F.col("doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    # What is known of a representative joins only entries whose shingle another one has too.
-    live = scratch.keep(entries.join(shared.select("token"), "token").join(about.drop("outline"), "doc"), "entries")
-
-    def links_among(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = cut(possible(pairs, outlines, num, den), n_live)
-        sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), width)
-        return scratch.keep(verified(pairs, sets, num, den), name)
-
-    sizes = cut(live.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > SMALL_BUCKET).withColumn("cost", F.col("size") * (F.col("size") - 1) / 2))
-    n_live = live.count()
-    most = PAIRS_PER_ENTRY * n_live
-    side = ("doc", "n", "pos", *PARITY)
-    links = joined = None
-    small, large = live, None
+    base = scratch.keep(shingle_sets(docs.select("doc_id", "text"), width, num, den), "base")
+    side = ("node", "component", "n", "pos", *PARITY)
+
+    # Equal sets have equal columns, so any row's do.
+    wanted = ("n", "matches", "shared", "prefix", "pos", *PARITY)
+    live = base.where("shared is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in wanted])
+    nodes = scratch.keep(live.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    def entries(joined: DataFrame | None) -> DataFrame:
+        about = nodes.select("node", "n", "matches", "prefix", F.col("pos").alias("places"), *PARITY)
+        if joined is None:
+            about = about.withColumn("component", F.col("node"))
+        else:
+            about = about.join(joined.select(F.col("id").alias("node"), "component_id"), "node", "left").withColumn("component", F.coalesce("component_id", "node"))
+        zipped = about.withColumn("at", F.explode(F.arrays_zip("prefix", "places")))
+        return zipped.select(F.col("at.prefix").alias("token"), "node", "component", "n", F.col("at.places").alias("pos"), "matches", *PARITY)
+
+    found = entries(None)
+    links = joined = tried = None
     for turn in range(PIVOT_ROUNDS):
-        cost = sizes.agg(F.sum("cost").alias("s")).first()["s"] or 0
-        if cost <= (most if turn else 0):
+        # A bucket's pivot has the fewest rarer shingles, and isn't of the component that is most of the bucket.
+        about = F.struct(F.col("pos").alias("first"), F.xxhash64("node").alias("h"), *side)
+        if turn:
+            about = F.when(~F.col("inner"), about)
+        pivots = found.groupBy("token").agg(F.count("*").alias("size"), F.min(about).alias("p")).where("size > 1 and p is not null").select("token", F.col("p").alias("y"))
+        pairs = found.select("token", F.struct(*side).alias("x")).join(pivots, "token").where("x.component <> y.component").where(fits("x", "y", num, den))
+        pairs = scratch.keep(pairs.select(*ordered("x.node", "y.node")).distinct(), f"pairs{turn}")
+        new = scratch.keep(verified(pairs, nodes, num, den), f"links{turn}")
+        links = new if links is None else links.unionByName(new)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        joined = components(links)
+        found = entries(joined)
+        mixed = main_components(found).where("size > most")
+        found = scratch.keep(found.join(mixed, "token").withColumn("inner", F.col("component") == F.col("main")), f"mixed{turn}")
+        left = found.agg(F.count("*").alias("n"), F.sum(F.when(~F.col("inner"), F.col("size"))).alias("cost")).first()
+        if (left["cost"] or 0) <= pairs_per_entry * left["n"] or new.isEmpty():
             break
-        if large is None:
-            small = live.join(sizes, "token", "left_anti")
-            large = cut(live.join(sizes.select("token"), "token"), n_live)
-        pivot = large.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc"), *side)).alias("p"))
-        pivot = cut(pivot.select("token", F.struct(*[f"p.{c}" for c in side]).alias("y")), n_live)
-        pairs = large.select("token", F.struct(*side).alias("x")).join(pivot, "token").where("x.doc <> y.doc").where(fits("x", "y", num, den))
-        found = links_among(cut(pairs.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct(), n_live), f"links{turn}")
-        links = found if links is None else links.unionByName(found)
-        joined = cut(components(links).select(F.col("id").alias("doc"), F.col("component_id").alias("component")), n_live)
-        left = large.join(pivot, "token").where("doc <> y.doc").drop("y")
-        named = cut(left.join(joined, "doc", "left").withColumn("component", F.coalesce("component", "doc")), n_live)
-        sizes = cut(main_components(named).where("size > most").select("token", (F.col("size") * (F.col("size") - F.col("most"))).alias("cost")), n_live)
-        large = cut(named.drop("component").join(sizes.select("token"), "token"), n_live)
-
-    if joined is None:
-        pairs = live.select("token", F.struct(*side, "matches").alias("x")).join(live.select("token", F.struct(*side, "matches").alias("y")), "token").where("x.doc < y.doc")
-    else:
-        rest = small.unionByName(large.select(small.columns)).join(joined, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        rest = scratch.keep(rest, "rest")
-        # The documents of a bucket's main component are never compared with each other.
-        main = cut(main_components(rest).where("size > most").select("token", F.col("main")))
-        rest = rest.join(main, "token").select("token", F.struct(*side, "matches", "component").alias("x"), (F.col("component") == F.col("main")).alias("inner"))
-        rest = scratch.keep(rest, "mixed")
-        other = rest.select("token", F.col("x").alias("y"), F.col("inner").alias("y_inner"))
-        pairs = rest.where("not inner").join(other, "token").where("(y_inner or x.doc < y.doc) and x.component <> y.component")
-    ends = pairs.where(fits("x", "y", num, den)).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), F.least("x.matches", "y.matches").alias("m"))
-    counted = ends.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("m").alias("least"))
-    # Every shingle two documents share is counted here, unless one of them was the bucket's
-    # pivot, and so verified against the other, or its bucket is within one component.
-    found = links_among(cut(counted.where(F.col("n") >= F.col("least")).select("a", "b")), "links")
-    links = found if links is None else links.unionByName(found)
-    joined = components(links).select(F.col("id").alias("rep"), "component_id")
-    labelled = cut(groups.join(joined, "rep", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id")))
-    return base.select("doc_id", "n", "k1", "k2").join(labelled, ["k1", "k2"], "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+
+    x = found.where("not inner").select("token", F.struct(*side, "matches").alias("x"))
+    y = found.select("token", F.struct(*side, "matches").alias("y"), F.col("inner").alias("y_inner"))
+    pairs = x.join(y, "token").where("(y_inner or x.node < y.node) and x.component <> y.component").where(fits("x", "y", num, den))
+    ends = pairs.select(*ordered("x.node", "y.node"), F.least("x.matches", "y.matches").alias("m"))
+    counted = ends.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("m").alias("least")).where("n >= least").select("a", "b")
+    pairs = scratch.keep(counted.join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(scratch.keep(verified(pairs, nodes, num, den), "links"))
+
+    ids = nodes.select("node", "rep", "k1", "k2").join(components(links).withColumnRenamed("id", "node"), "node", "left")
+    ids = ids.withColumn("component", F.coalesce("component_id", "node")).drop("component_id")
+    least = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
+    labelled = scratch.keep(ids.join(least, "component").select("k1", "k2", "component_id"), "labelled")
+    # Only these rows can have a link, so only they meet others of the same set.
+    alike = base.where("shared is not null").select("doc_id", "n", "k1", "k2").join(labelled, ["k1", "k2"], "left").select("doc_id", "n", "component_id")
+    alone = base.where("shared is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    return alike.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), out.alias("component_id"))
 
 
 def main_components(entries: DataFrame) -> DataFrame:
@@ -346,26 +409,5 @@ def main_components(entries: DataFrame) -> DataFrame:
     return out.select("token", "size", F.col("m.component").alias("main"), F.col("m.c").alias("most"))
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``doc`` and ``tokens``, the set in ascending order, of the documents in ``ids`` and of
-    those few that a Bloom filter of fixed size doesn't tell from them."""
-    spark = docs.sparkSession
-    bloom = spark.sparkContext.broadcast(bloom_bits(ids, BLOOM_BITS))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, on = Shingler(width), bloom.value
-        for batch in batches:
-            keep = np.ones(len(batch), dtype=bool)
-            for k in range(3):
-                at = batch[f"h{k}"].to_numpy()
-                keep &= (on[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
-            part = batch[keep]
-            yield pd.DataFrame({"doc": part["doc_id"], "tokens": [shingler.set(t).tobytes() for t in part["text"]]})
-
-    rows = docs.where("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    hashes = [F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(k)), 64 - BLOOM_BITS).alias(f"h{k}") for k in range(3)]
-    return rows.select("doc_id", "text", *hashes).mapInPandas(run, "doc long, tokens binary")
-
-
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), width=3, num=90, den=100)

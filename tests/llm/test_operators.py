@@ -193,8 +193,8 @@ def brute_components(texts, width, num, den):
     return [(len(s), find(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80)])
-def test_jaccard_components(spark, width, num):
+@pytest.mark.parametrize(("width", "num", "most"), [(3, 90, 64), (5, 80, 64), (5, 80, 0)])
+def test_jaccard_components(spark, width, num, most):
     rng = random.Random(6)
     passage = words(rng, 60)
     base = [words(rng, rng.randint(1, 120)) for _ in range(12)]
@@ -206,7 +206,7 @@ def test_jaccard_components(spark, width, num):
                 w[rng.randrange(len(w))] = "edit" + str(rng.randrange(9))
             texts.append(" ".join(w))
     texts += [words(rng, 5) + " " + passage + " " + words(rng, 3) for _ in range(30)] + [passage] * 40
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op9.jaccard_components(docs(spark, texts), width, num, 100, sketch_bits=10).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op9.jaccard_components(docs(spark, texts), width, num, 100, pairs_per_entry=most).collect()}
     assert [got[i] for i in range(len(texts))] == brute_components(texts, width, num, 100)
 
 
