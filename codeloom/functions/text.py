@@ -10,7 +10,8 @@ GENERATED = r"(?i)(\.designer\.cs|\.g\.cs|\.g\.i\.cs|\.pb\.cs|assemblyinfo\.cs)$
 EXCLUDED_FOLDERS = (".git", ".tmp", "node_modules", "dist", "build", "coverage", "bin", "obj")
 SOURCE_SUFFIXES = (".cs", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".c", ".h", ".cc", ".cpp", ".cxx", ".hpp", ".hh", ".hxx", ".inl")
 FIELD_WEIGHTS = {"name": 10, "qualified_name": 4, "signature": 2, "file_path": 1}
-_WORD_EDGE = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{L})(?=\p{Nd})|(?<=\p{Nd})(?=\p{L})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+WORD_GAP = r"[^\p{L}\p{Nd}]+"
+WORD_EDGE = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{L})(?=\p{Nd})|(?<=\p{Nd})(?=\p{L})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
 
 
 def normalize_path(c: Column) -> Column:
@@ -23,8 +24,8 @@ def normalize(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Distinct lower-cased identifiers and their camel-case and digit parts, in order."""
-    runs = F.filter(F.split(c, r"[^\p{L}\p{Nd}]+"), lambda r: r != "")
-    both = F.transform(runs, lambda r: F.concat(F.array(F.lower(r)), F.transform(F.split(r, _WORD_EDGE), F.lower)))
+    runs = F.filter(F.split(c, WORD_GAP), lambda r: r != "")
+    both = F.transform(runs, lambda r: F.concat(F.array(F.lower(r)), F.transform(F.split(r, WORD_EDGE), F.lower)))
     return F.array_sort(F.array_distinct(F.flatten(both)))
 
 

@@ -42,11 +42,14 @@ def page(edges: DataFrame, symbol_id: str, outgoing: bool, limit: int = 40) -> D
 
 
 def groups(edges: DataFrame, most_lines: int = 8) -> DataFrame:
-    """Edges of one source, target, kind and file: their number and smallest distinct lines."""
-    out = edges.groupBy("source_id", "target_id", "kind", "file_path").agg(
-        F.count("*").alias("occurrences"), F.slice(F.array_sort(F.collect_set("line")), 1, most_lines).alias("lines")
-    )
-    return out
+    """Edges of one source, target, kind and file: their number and smallest distinct lines.
+    Lines are counted first, so that no task holds all lines of a group."""
+    key = ("source_id", "target_id", "kind", "file_path")
+    each = edges.groupBy(*key, "line").agg(F.count("*").alias("c"))
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("line").asc_nulls_last()))
+    each = each.withColumn("rn", first)
+    lines = F.array_sort(F.collect_list(F.when(F.col("rn") <= most_lines, F.col("line"))))
+    return each.groupBy(*key).agg(F.sum("c").alias("occurrences"), lines.alias("lines"))
 
 
 def groups_wire(edges: DataFrame) -> DataFrame:

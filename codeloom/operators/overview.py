@@ -38,14 +38,15 @@ def top_files(symbols: DataFrame, include_generated: bool = False) -> DataFrame:
     return top_counts(rows, F.col("file_path"), 20)
 
 
-def hubs(symbols: DataFrame, edges: DataFrame, include_generated: bool = False) -> DataFrame:
-    """Symbols by number of edge ends. Degrees are counted over ids alone before any join, so
-    hot symbols are reduced on the map side."""
-    rows = symbols.where(F.col("kind") != TEXTUAL)
+def hubs(symbols: DataFrame, edges: DataFrame | None = None, include_generated: bool = False) -> DataFrame:
+    """Symbols by number of edge ends. Degrees are counted over ids alone before any join, so hot
+    symbols are reduced on the map side; without ``edges`` the symbols have them already."""
+    if edges is not None:
+        symbols = symbols.join(degrees(edges), "id")
+    rows = symbols.where(F.col("kind") != TEXTUAL).withColumn("degree", F.col("degree_out") + F.col("degree_in")).where("degree > 0")
     if not include_generated:
         rows = rows.where(~is_generated(F.col("file_path")))
-    counted = degrees(edges).select("id", (F.col("degree_out") + F.col("degree_in")).alias("degree"))
-    return rows.join(counted, "id").select("id", "name", "qualified_name", "kind", "file_path", "degree").orderBy(F.desc("degree"), "id").limit(20)
+    return rows.select("id", "name", "qualified_name", "kind", "file_path", "degree").orderBy(F.desc("degree"), "id").limit(20)
 
 
 def totals(symbols: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -64,8 +65,13 @@ def file_rollup(symbols: DataFrame) -> DataFrame:
 
 def list_files(symbols: DataFrame, part: str | None = None, limit: int = 500) -> DataFrame:
     """Visible files by path, one more than ``limit`` (1 to 2000) so that the caller sees if there are more."""
+    return list_rollup(file_rollup(symbols), part, limit)
+
+
+def list_rollup(files: DataFrame, part: str | None = None, limit: int = 500) -> DataFrame:
+    """As ``list_files``, of the rows of ``file_rollup``."""
     limit = min(max(limit, 1), 2000)
-    rows = file_rollup(symbols).where("visible").drop("visible")
+    rows = files.where("visible").drop("visible")
     if part and part.strip():
         rows = rows.where(contains(F.col("file_path"), part.replace("\\", "/")))
     return rows.orderBy("file_path").limit(limit + 1)

@@ -3,25 +3,36 @@ matches and by BM25 over weighted fields."""
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import FIELD_WEIGHTS, contains, normalize, tokens
+from codeloom.functions.text import FIELD_WEIGHTS, WORD_EDGE, WORD_GAP, contains, normalize, tokens
+from codeloom.operators.edges import adjacent
 from codeloom.operators.overview import TEXTUAL
 
 FIELDS = tuple(FIELD_WEIGHTS)
 K1, B = 1.2, 0.75
-_EDGE = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])|(?<=[^\W\d_])(?=\d)|(?<=\d)(?=[^\W\d_])|(?<=[A-ZÀ-ÖØ-Þ])(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
+
+
+@dataclass
+class Index:
+    """Postings (``id``, ``lexeme``, ``frequency``), ``lexeme`` with ``df``, and the row of ``corpus_totals``."""
+
+    terms: DataFrame
+    lexicon: DataFrame
+    corpus: DataFrame
 
 
 def query_tokens(query: str) -> list[str]:
-    """As ``functions.text.tokens``, of a query; without any letter or digit the normal form itself."""
+    """As ``functions.text.tokens``, by the same patterns; without any letter or digit the normal form itself."""
     found = set()
-    for run in re.findall(r"[^\W_]+", query):
-        found.add(run.lower())
-        found.update(p.lower() for p in _EDGE.split(run) if p)
+    for run in regex.split(WORD_GAP, query, flags=regex.V1):
+        if run:
+            found.add(run.lower())
+            found.update(p.lower() for p in regex.split(WORD_EDGE, run, flags=regex.V1) if p)
     return sorted(found) or [normal_query(query)]
 
 
@@ -77,18 +88,16 @@ def lexical_score(query: str) -> Column:
 
 
 def document_length() -> Column:
-    total = sum((F.size(tokens(F.col(f))) * w for f, w in FIELD_WEIGHTS.items()), F.lit(0))
-    return F.greatest(F.lit(1), total)
-
-
-def frequency(token: str) -> Column:
-    return sum((F.when(F.array_contains(tokens(F.col(f)), token), w).otherwise(0) for f, w in FIELD_WEIGHTS.items()), F.lit(0))
+    """Weighted number of tokens of all fields, null ones left out; one at least."""
+    total = sum((F.coalesce(F.size(tokens(F.col(f))), F.lit(0)) * w for f, w in FIELD_WEIGHTS.items()), F.lit(0))
+    return F.greatest(F.lit(1), total).cast("long")
 
 
 def term_frequencies(symbols: DataFrame) -> DataFrame:
     """``id``, ``lexeme`` and its weighted frequency: each field counts a token once."""
     weighted = lambda w: lambda t: F.struct(t.alias("lexeme"), F.lit(w).alias("w"))
     each = [F.transform(tokens(F.col(f)), weighted(w)) for f, w in FIELD_WEIGHTS.items()]
+    each = [F.coalesce(a, F.array().cast("array<struct<lexeme:string,w:int>>")) for a in each]
     rows = symbols.select("id", F.explode(F.concat(*each)).alias("t")).select("id", "t.*")
     return rows.groupBy("id", "lexeme").agg(F.sum("w").alias("frequency"))
 
@@ -97,16 +106,27 @@ def lexeme_df(symbols: DataFrame) -> DataFrame:
     return term_frequencies(symbols).groupBy("lexeme").agg(F.count("*").alias("df"))
 
 
-def corpus_stats(symbols: DataFrame) -> DataFrame:
-    """One row: number of symbols, total length and mean length (at least 1)."""
-    total = symbols.agg(F.count("*").alias("n"), F.sum(document_length()).cast("long").alias("total_length"))
-    mean = F.greatest(F.lit(1.0), F.col("total_length") / F.col("n"))
-    return total.select("n", "total_length", F.round(F.coalesce(mean, F.lit(1.0)), 6).alias("average_length"))
+def corpus_totals(symbols: DataFrame) -> DataFrame:
+    """One row: number of symbols and their total length."""
+    length = F.col("length") if "length" in symbols.columns else document_length()
+    return symbols.agg(F.count("*").alias("n"), F.coalesce(F.sum(length), F.lit(0)).cast("long").alias("total_length"))
+
 
+def corpus_stats(totals: DataFrame) -> DataFrame:
+    """``corpus_totals`` and the mean length (at least 1)."""
+    mean = F.greatest(F.lit(1.0), F.col("total_length") / F.nullif("n", F.lit(0)))
+    return totals.select("n", "total_length", F.round(F.coalesce(mean, F.lit(1.0)), 6).alias("average_length"))
 
-def scored(symbols: DataFrame, query: str, **filters) -> DataFrame:
-    """All hits with ``score``. The corpus of BM25 is all of ``symbols``, whatever the filters; its
-    counts for the query's tokens come from one aggregation of a single row."""
+
+def index_of(symbols: DataFrame) -> Index:
+    terms = term_frequencies(symbols)
+    return Index(terms, lexeme_df(symbols), corpus_totals(symbols))
+
+
+def scored(symbols: DataFrame, query: str, index: Index | None = None, **filters) -> DataFrame:
+    """All hits with ``score``. The corpus of BM25 is all of ``symbols``, whatever the filters. Only the
+    postings of the query's tokens are read, and joined to the hits alone. With an ``index``
+    symbols have their ``length``; without, both come from the symbols themselves."""
     if not query.strip():
         return symbols.limit(0).withColumn("score", F.lit(0.0))
     rows = filtered(symbols, **filters)
@@ -114,27 +134,30 @@ def scored(symbols: DataFrame, query: str, **filters) -> DataFrame:
     if not exact.isEmpty():
         return exact.withColumn("score", F.lit(100.0))
     terms = query_tokens(query)
-    stats = symbols.agg(
-        F.count("*").cast("double").alias("n"), F.greatest(F.lit(1.0), F.sum(document_length()) / F.count("*")).alias("mean"),
-        *[F.count_if(frequency(t) > 0).alias(f"df{i}") for i, t in enumerate(terms)],
-    ).first()
-    score = lexical_score(query)
+    index = index or index_of(symbols)
+    totals = index.corpus.first()
+    mean = max(1.0, totals["total_length"] / totals["n"]) if totals["n"] else 1.0
+    # A row for each token of the query at most.
+    counts = {r["lexeme"]: r["df"] for r in index.lexicon.where(F.col("lexeme").isin(terms)).collect()}
+    hits = rows.where(matches(query))
+    if "length" not in hits.columns:
+        hits = hits.withColumn("length", document_length())
+    each = [F.max(F.when(F.col("lexeme") == t, F.col("frequency"))).alias(f"f{i}") for i, t in enumerate(terms)]
+    hits = hits.join(index.terms.where(F.col("lexeme").isin(terms)).groupBy("id").agg(*each), "id", "left")
     bm25 = F.lit(0.0)
     for i, t in enumerate(terms):
-        df = stats[f"df{i}"]
-        f = frequency(t).cast("double")
-        idf = F.log(F.lit(1.0 + (stats["n"] - df + 0.5) / (df + 0.5)))
-        bm25 = bm25 + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * document_length() / F.lit(stats["mean"])))).otherwise(0.0)
-    return rows.where(matches(query)).withColumn("score", F.round(score + 5 * bm25, 6))
+        df = counts.get(t, 0)
+        f = F.coalesce(F.col(f"f{i}"), F.lit(0)).cast("double")
+        idf = F.log(F.lit(1.0 + (totals["n"] - df + 0.5) / (df + 0.5)))
+        bm25 = bm25 + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(mean)))).otherwise(0.0)
+    return hits.withColumn("score", F.round(lexical_score(query) + 5 * bm25, 6)).select(*symbols.columns, "score")
 
 
-def search(symbols: DataFrame, query: str, limit: int = 20, **filters) -> DataFrame:
+def search(symbols: DataFrame, query: str, limit: int = 20, index: Index | None = None, **filters) -> DataFrame:
     """The best ``limit`` (1 to 200) hits with ``score`` and ``rank``, in order, and whether there are more."""
     limit = min(max(limit, 1), 200)
     order = [F.desc("score"), F.length("name"), F.col("file_path"), F.col("id")]
-    found = scored(symbols, query, **filters).orderBy(*order).limit(limit + 1)
-    from pyspark.sql import Window
-
+    found = scored(symbols, query, index, **filters).orderBy(*order).limit(limit + 1)
     ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     ranked = ranked.withColumn("truncated", F.count("*").over(Window.partitionBy()) > limit)
     return ranked.where(F.col("rank") <= limit)
@@ -142,10 +165,6 @@ def search(symbols: DataFrame, query: str, limit: int = 20, **filters) -> DataFr
 
 def with_edges(hits: DataFrame, relationships: DataFrame, most: int = 24) -> DataFrame:
     """For each hit up to ``most`` edges, outgoing before incoming, each by id."""
-    from pyspark.sql import Window
-
-    from codeloom.operators.edges import adjacent
-
     rows = adjacent(relationships, hits.select("id"))
     rank = Window.partitionBy("node").orderBy("dir", "id")
     return rows.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= most)

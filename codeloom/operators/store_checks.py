@@ -6,12 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def status(symbols: DataFrame, relationships: DataFrame) -> DataFrame:
+def status(segments: DataFrame) -> DataFrame:
     """Segments, symbols and relationships, from counts by module and file."""
-    s = symbols.select("module_id", "file_path", F.lit(1).alias("s"), F.lit(0).alias("r"))
-    r = relationships.select("module_id", "file_path", F.lit(0).alias("s"), F.lit(1).alias("r"))
-    segments = s.unionByName(r).groupBy("module_id", "file_path").agg(F.sum("s").alias("s"), F.sum("r").alias("r"))
-    return segments.agg(F.count("*").alias("segments"), F.sum("s").alias("symbols"), F.sum("r").alias("relationships"))
+    return segments.agg(F.count("*").alias("segments"), F.sum("symbols").alias("symbols"), F.sum("relationships").alias("relationships"))
 
 
 def merge(current: DataFrame, upserts: DataFrame, keys: list[str], removed: DataFrame | None = None) -> DataFrame:

@@ -33,6 +33,10 @@ def _both(f):
     return lambda spark, d: f(views.symbols(spark, d), views.relationships(spark, d))
 
 
+def _pack(f):
+    return lambda spark, d: f(views.pack(spark, d))
+
+
 def _edges(df: DataFrame) -> DataFrame:
     return df.select(*EDGE.split(", "))
 
@@ -82,11 +86,11 @@ QUERIES = {
     "outline_compact": _sym(lambda s: p.outline_compact(o.outline(s, "geo/regions.ts"))),
     "outline_without_file": _sym(lambda s: p.outline_without_file(o.outline(s, "geo/regions.ts"))),
     "file_outline": _sym(lambda s: _syms(o.outline(s, "src/customers/building.cs", 100))),
-    "list_files": _sym(lambda s: o.list_files(s, "src/", 50)),
+    "list_files": _pack(lambda k: o.list_rollup(k.table("files"), "src/", 50)),
     "path_universe": _both(lambda s, r: s.select("file_path").union(r.select("file_path")).distinct()),
     "external_filter": _rel(lambda r: _edges(r.where(~F.col("target_id").startswith("ext:")))),
     "resolved_edges": _both(lambda s, r: _edges(e.resolved(r, s))),
-    "resolved_count": _both(lambda s, r: e.resolved(r, s).agg(F.count("*").alias("resolved"))),
+    "resolved_count": _pack(lambda k: k.table("outgoing").agg(F.count("*").alias("resolved"))),
     "unresolved_edges": _both(lambda s, r: _edges(e.unresolved(r, s))),
     "prune_dangling": _both(lambda s, r: _edges(e.resolved(r, s.where("module_id = 'csharp-roslyn'")))),
     "adjacent_edges": _both(lambda s, r: e.adjacent(e.resolved(r, s), s.where("kind = 'class'").select("id")).select("node", "dir", "other", "id", "kind")),
@@ -96,19 +100,19 @@ QUERIES = {
     "overview_edge_kinds": _rel(o.edge_kinds),
     "overview_top_files": _sym(o.top_files),
     "overview_top_files_generated": _sym(lambda s: o.top_files(s, True)),
-    "overview_hubs": _both(lambda s, r: o.hubs(s, e.resolved(r, s))),
-    "overview_hubs_generated": _both(lambda s, r: o.hubs(s, e.resolved(r, s), True)),
+    "overview_hubs": _pack(lambda k: o.hubs(k.table("symbols"))),
+    "overview_hubs_generated": _pack(lambda k: o.hubs(k.table("symbols"), include_generated=True)),
     "overview_totals": _both(o.totals),
-    "file_rollup": _sym(o.file_rollup),
-    "degree_in": _both(lambda s, r: e.degrees(e.resolved(r, s)).select("id", "degree_in").where("degree_in > 0")),
-    "degree_out": _both(lambda s, r: e.degrees(e.resolved(r, s)).select("id", "degree_out").where("degree_out > 0")),
+    "file_rollup": _pack(lambda k: k.table("files")),
+    "degree_in": _pack(lambda k: k.table("symbols").select("id", "degree_in").where("degree_in > 0")),
+    "degree_out": _pack(lambda k: k.table("symbols").select("id", "degree_out").where("degree_out > 0")),
     "edge_groups": _rel(lambda r: _lines_text(e.groups(r))),
     "edge_groups_wire": _rel(lambda r: _lines_text(e.groups_wire(r))),
-    "repository_status": _both(lambda s, r: sc.status(s, r)),
+    "repository_status": _pack(lambda k: sc.status(k.table("segments"))),
     "purge_count": _sym(lambda s: o.purge_count(s, "/parts/")),
     "purge_path": _sym(lambda s: _syms(s.where(~text.contains(F.col("file_path"), "/parts/")))),
-    "symbol_outgoing": _both(lambda s, r: e.page(e.resolved(r, s), "ord:000000001", True, 40).select(*EDGE.split(", "), "rn", "has_more")),
-    "symbol_incoming": _both(lambda s, r: e.page(e.resolved(r, s), HUB, False, 40).select(*EDGE.split(", "), "rn", "has_more")),
+    "symbol_outgoing": _pack(lambda k: e.page(k.table("outgoing"), "ord:000000001", True, 40).select(*EDGE.split(", "), "rn", "has_more")),
+    "symbol_incoming": _pack(lambda k: e.page(k.table("incoming"), HUB, False, 40).select(*EDGE.split(", "), "rn", "has_more")),
     "token_budget_projection": _sym(lambda s: p.within_budget(s, [F.col("id")], p.ORIENTATION, 100, 2000).select("id", "tokens", "rn", "total")),
     "estimated_tokens": _sym(lambda s: p.project(s).select("id", p.tokens_of(p.ORIENTATION).alias("tokens"))),
     "dedupe_first": _sym(lambda s: s.withColumn("rn", F.row_number().over(Window.partitionBy("name").orderBy("module_id", "id"))).where("rn = 1").select("name", "id")),

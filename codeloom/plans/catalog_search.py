@@ -18,13 +18,23 @@ ROOT, HOT = "nat:000", "prt:000000042"
 _NODE = ("id", "name", "qualified_name", "kind", "file_path", "start_line")
 
 
+def _search(spark, d, query: str, limit: int = 50, **filters) -> DataFrame:
+    pack = views.pack(spark, d)
+    return s.search(pack.table("symbols"), query, limit, pack.index(), **filters)
+
+
 def _hits(query: str, limit: int = 50, **filters):
-    return lambda spark, d: s.search(views.symbols(spark, d), query, limit, **filters).select("id", "name", "kind", "file_path", "score", "rank", "truncated")
+    return lambda spark, d: _search(spark, d, query, limit, **filters).select("id", "name", "kind", "file_path", "score", "rank", "truncated")
+
+
+def _walked(find, spark, d, root: str, *args, **how) -> g.Graph:
+    pack = views.pack(spark, d)
+    return find(pack.table("symbols"), pack.table("relationships"), root, *args, adjacency=pack.adjacency(), **how)
 
 
 def _graph(part: str, root: str, **how):
     def run(spark, d) -> DataFrame:
-        graph = g.traverse(views.symbols(spark, d), views.relationships(spark, d), root, **how)
+        graph = _walked(g.traverse, spark, d, root, **how)
         if part == "nodes":
             return graph.nodes.select(*_NODE)
         return graph.edges.select(*EDGE.split(", ")).withColumn("truncated", F.lit(graph.truncated))
@@ -34,7 +44,7 @@ def _graph(part: str, root: str, **how):
 
 def _found(find, part: str, root: str, **how):
     def run(spark, d) -> DataFrame:
-        graph = find(views.symbols(spark, d), views.relationships(spark, d), root, **how)
+        graph = _walked(find, spark, d, root, **how)
         return graph.nodes.select("id") if part == "nodes" else graph.edges.select(*EDGE.split(", "))
 
     return run
@@ -42,9 +52,9 @@ def _found(find, part: str, root: str, **how):
 
 def _detail(part: str, projected: bool = False):
     def run(spark, d) -> DataFrame:
-        found = g.symbol_detail(views.symbols(spark, d), views.relationships(spark, d), ROOT, 10, projected)[part]
+        found = _walked(g.symbol_detail, spark, d, ROOT, 10, projected)[part]
         if "lines" in found.columns:
-            return found.withColumn("lines", F.array_join(F.transform("lines", lambda x: x.cast("string")), ","))
+            return _lines(found)
         return found.select("id", "name", "kind")
 
     return run
@@ -54,6 +64,13 @@ def _lines(df: DataFrame) -> DataFrame:
     return df.withColumn("lines", F.array_join(F.transform("lines", lambda x: x.cast("string")), ","))
 
 
+def _with_edges(query: str, limit: int = 5):
+    def run(spark, d) -> DataFrame:
+        return s.with_edges(_search(spark, d, query, limit).select("id"), views.pack(spark, d).table("outgoing")).select("node", "id", "dir", "rn")
+
+    return run
+
+
 QUERIES = {
     "search_exact": _hits("Orders.Order000000042"),
     "search_prefix": _hits("Customer#00000000"),
@@ -61,17 +78,17 @@ QUERIES = {
     "search_multi_token": _hits("blue bolt"),
     "search_short_token": _hits("f"),
     "search_negative": _hits("zzzz_none"),
-    "search_textual": _hits("click", include_textual=False),
+    "search_textual": _hits("src", include_textual=False),
     "search_with_textual": _hits("click"),
     "search_kind_filter": _hits("order", kind="method"),
     "search_path_filter": _hits("order", path_contains="URGENT"),
-    "search_ranked": _hits("steel_bolt", 20),
+    "search_ranked": _hits("large_bolt", 20),
     "search_lexical_score": lambda spark, d: views.symbols(spark, d).where(s.matches("bolt")).select("id", s.lexical_score("bolt").alias("score")),
-    "search_bm25": lambda spark, d: s.scored(views.symbols(spark, d), "red bolt").select("id", "score"),
-    "search_with_relationships": lambda spark, d: s.with_edges(s.search(views.symbols(spark, d), "FRANCE", 5).select("id"), e.resolved(views.relationships(spark, d), views.symbols(spark, d))).select("node", "id", "dir", "rn"),
-    "term_frequencies": lambda spark, d: s.term_frequencies(views.symbols(spark, d)).select("id", "lexeme", F.col("frequency").cast("long").alias("frequency")),
-    "lexeme_df": lambda spark, d: s.lexeme_df(views.symbols(spark, d)),
-    "bm25_corpus_stats": lambda spark, d: s.corpus_stats(views.symbols(spark, d)),
+    "search_bm25": lambda spark, d: s.scored(views.pack(spark, d).table("symbols"), "red bolt", views.pack(spark, d).index()).select("id", "score"),
+    "search_with_relationships": _with_edges("NATION_"),
+    "term_frequencies": lambda spark, d: views.pack(spark, d).table("terms").select("id", "lexeme", F.col("frequency").cast("long").alias("frequency")),
+    "lexeme_df": lambda spark, d: views.pack(spark, d).table("lexicon"),
+    "bm25_corpus_stats": lambda spark, d: s.corpus_stats(views.pack(spark, d).table("corpus")),
     "trigram_candidates": lambda spark, d: s.trigram_candidates(views.symbols(spark, d), "small").select("id"),
     "graph_depth1": _graph("edges", ROOT, depth=1, limit=40),
     "graph_nodes_depth1": _graph("nodes", ROOT, depth=1, limit=40),
@@ -81,7 +98,7 @@ QUERIES = {
     "graph_limit": _graph("nodes", HOT, depth=2, limit=7),
     "graph_fanout_cap": _graph("edges", "sup:000000001", depth=1, limit=2000, cap=20),
     "graph_isolated": _graph("nodes", "evt:000000001", depth=2),
-    "graph_projected": lambda spark, d: _lines(e.groups(g.traverse(views.symbols(spark, d), views.relationships(spark, d), ROOT, 2, 100).edges)),
+    "graph_projected": lambda spark, d: _lines(e.groups(_walked(g.traverse, spark, d, ROOT, 2, 100).edges)),
     "find_callers": _found(g.find_callers, "edges", HOT, depth=1, limit=60),
     "find_callers_nodes": _found(g.find_callers, "nodes", HOT, depth=1, limit=60),
     "find_callers_wide": _found(g.find_callers, "edges", "cus:000000001", depth=1, wide=True),
@@ -144,20 +161,27 @@ def _search_sql(query: str, limit: int = 50, where: str = "true") -> str:
 
 
 def _graph_ctes(root: str, depth: int, limit: int, kinds: list[str] | None = None, cap: int = 500) -> tuple[list[str], str]:
-    """CTEs of a traversal unrolled by level, and the name of the last level."""
-    k = "true" if not kinds else "kind IN (" + ", ".join(f"'{x}'" for x in kinds) + ")"
-    out = [_RES, f"n0 AS (SELECT id FROM sym WHERE id = '{root}')", "f0 AS (SELECT id FROM n0)", "k0 AS (SELECT id FROM rel WHERE false)", "t0 AS (SELECT false AS t)"]
+    """CTEs of a traversal unrolled by level, and the name of the last level. Edges are carried whole, so
+    that the last level has the answer's columns, and each level is computed once."""
+    k = "true" if not kinds else "r.kind IN (" + ", ".join(f"'{x}'" for x in kinds) + ")"
+    ends = "r.id, r.source_id, r.target_id, r.kind, r.file_path, r.line, r.col"
+    out = [
+        _RES.replace(" AS (", " AS MATERIALIZED (", 1), f"n0 AS MATERIALIZED (SELECT id FROM sym WHERE id = '{root}')", f"k0 AS MATERIALIZED (SELECT {EDGE} FROM rel WHERE false)",
+        "t0 AS MATERIALIZED (SELECT false AS t)", "f0 AS MATERIALIZED (SELECT id FROM n0)",
+    ]
     for i in range(1, depth + 1):
         p = i - 1
         out += [
-            f"j{i} AS (SELECT f.id AS f, 0 AS dir, r.id AS eid, r.target_id AS other FROM f{p} f JOIN res r ON r.source_id = f.id WHERE {k} UNION ALL SELECT f.id, 1, r.id, r.source_id FROM f{p} f JOIN res r ON r.target_id = f.id AND r.source_id <> r.target_id WHERE {k})",
-            f"r{i} AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY dir, eid) AS rn FROM j{i})",
-            f"c{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY f, dir) AS q FROM r{i} WHERE rn <= {cap} AND eid NOT IN (SELECT id FROM k{p})) x WHERE q = 1)",
-            f"u{i} AS (SELECT other, row_number() OVER (ORDER BY f, dir, eid) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY other ORDER BY f, dir, eid) AS z FROM c{i} WHERE other NOT IN (SELECT id FROM n{p})) x WHERE z = 1)",
-            f"f{i} AS (SELECT other AS id FROM u{i} WHERE pos <= {limit} - (SELECT count(*) FROM n{p}))",
-            f"n{i} AS (SELECT id FROM n{p} UNION ALL SELECT id FROM f{i})",
-            f"k{i} AS (SELECT id FROM k{p} UNION ALL SELECT eid FROM c{i} WHERE other IN (SELECT id FROM n{i}))",
-            f"t{i} AS (SELECT (SELECT t FROM t{p}) OR EXISTS (SELECT 1 FROM r{i} WHERE rn > {cap}) OR EXISTS (SELECT 1 FROM c{i} WHERE other NOT IN (SELECT id FROM n{i})) AS t)",
+            f"j{i} AS MATERIALIZED (SELECT f.id AS f, 0 AS dir, r.target_id AS other, {ends} FROM f{p} f JOIN res r ON r.source_id = f.id WHERE {k} UNION ALL SELECT f.id, 1, r.source_id, {ends} FROM f{p} f JOIN res r ON r.target_id = f.id WHERE r.source_id <> r.target_id AND {k})",
+            f"r{i} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY f ORDER BY dir, id) AS rn FROM j{i})",
+            f"q{i} AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY f, dir) AS q FROM r{i} WHERE rn <= {cap})",
+            f"c{i} AS MATERIALIZED (SELECT q{i}.*, n.id AS old FROM q{i} LEFT JOIN k{p} ON k{p}.id = q{i}.id LEFT JOIN n{p} n ON n.id = q{i}.other WHERE q = 1 AND k{p}.id IS NULL)",
+            f"z{i} AS (SELECT other, f, dir, id, row_number() OVER (PARTITION BY other ORDER BY f, dir, id) AS z FROM c{i} WHERE old IS NULL)",
+            f"u{i} AS (SELECT other, row_number() OVER (ORDER BY f, dir, id) AS pos FROM z{i} WHERE z = 1)",
+            f"f{i} AS MATERIALIZED (SELECT other AS id FROM u{i} WHERE pos <= {limit} - (SELECT count(*) FROM n{p}))",
+            f"n{i} AS MATERIALIZED (SELECT id FROM n{p} UNION ALL SELECT id FROM f{i})",
+            f"k{i} AS MATERIALIZED (SELECT * FROM k{p} UNION ALL SELECT {', '.join('c.' + x for x in EDGE.split(', '))} FROM c{i} c JOIN n{i} n ON n.id = c.other)",
+            f"t{i} AS MATERIALIZED (SELECT t OR (SELECT count(*) FROM r{i} WHERE rn > {cap}) > 0 OR (SELECT count(*) FROM c{i}) + (SELECT count(*) FROM k{p}) > (SELECT count(*) FROM k{i}) AS t FROM t{p})",
         ]
     return out, str(depth)
 
@@ -165,14 +189,14 @@ def _graph_ctes(root: str, depth: int, limit: int, kinds: list[str] | None = Non
 def _graph_sql(part: str, root: str, depth: int = 2, limit: int = 80, kinds: list[str] | None = None, cap: int = 500, where: str = "true") -> str:
     ctes, last = _graph_ctes(root, depth, limit, kinds, cap)
     if part == "nodes":
-        return with_views(f"SELECT {', '.join(_NODE)} FROM sym WHERE id IN (SELECT id FROM n{last})", *ctes)
+        return with_views(f"SELECT {', '.join('s.' + c for c in _NODE)} FROM sym s JOIN n{last} n ON n.id = s.id", *ctes)
     if part == "edges":
-        return with_views(f"SELECT {EDGE}, (SELECT t FROM t{last}) AS truncated FROM rel WHERE id IN (SELECT id FROM k{last})", *ctes)
+        return with_views(f"SELECT {EDGE}, t AS truncated FROM k{last}, t{last}", *ctes)
     if part == "kept":
-        return with_views(f"SELECT {EDGE} FROM rel WHERE id IN (SELECT id FROM k{last}) AND {where}", *ctes)
+        return with_views(f"SELECT {EDGE} FROM k{last} WHERE {where}", *ctes)
     if part == "ends":
-        return with_views(f"SELECT id FROM sym WHERE id IN (SELECT id FROM n{last}) AND (id = '{root}' OR id IN (SELECT source_id FROM w) OR id IN (SELECT target_id FROM w))", *ctes, f"w AS (SELECT * FROM rel WHERE id IN (SELECT id FROM k{last}) AND {where})")
-    return with_views(f"SELECT source_id, target_id, kind, file_path, count(*) AS occurrences, array_to_string(list_slice(list_sort(list(DISTINCT line)), 1, 8), ',') AS lines FROM rel WHERE id IN (SELECT id FROM k{last}) GROUP BY 1, 2, 3, 4", *ctes)
+        return with_views(f"SELECT id FROM sym WHERE id = '{root}' OR id IN (SELECT source_id FROM w UNION SELECT target_id FROM w)", *ctes, f"w AS (SELECT * FROM k{last} WHERE {where})")
+    return with_views(f"SELECT source_id, target_id, kind, file_path, count(*) AS occurrences, array_to_string(list_slice(list_sort(list(DISTINCT line)), 1, 8), ',') AS lines FROM k{last} GROUP BY 1, 2, 3, 4", *ctes)
 
 
 _PAGES = f"o AS (SELECT * FROM res WHERE source_id = '{ROOT}' ORDER BY id LIMIT 10), i AS (SELECT * FROM res WHERE target_id = '{ROOT}' ORDER BY id LIMIT 10)"
@@ -184,17 +208,17 @@ ORACLES = {
     "search_multi_token": _search_sql("blue bolt"),
     "search_short_token": _search_sql("f"),
     "search_negative": _search_sql("zzzz_none"),
-    "search_textual": _search_sql("click", where="kind <> 'textual-evidence'"),
+    "search_textual": _search_sql("src", where="kind <> 'textual-evidence'"),
     "search_with_textual": _search_sql("click"),
     "search_kind_filter": _search_sql("order", where="lower(kind) = 'method'"),
     "search_path_filter": _search_sql("order", where="contains(lower(file_path), 'urgent')"),
-    "search_ranked": _search_sql("steel_bolt", 20),
+    "search_ranked": _search_sql("large_bolt", 20),
     "search_lexical_score": with_views(f"SELECT id, CAST({_lexical_sql('bolt')} AS DOUBLE) AS score FROM sym WHERE {_match_sql('bolt')}"),
     "search_bm25": with_views("SELECT id, CAST(score AS DOUBLE) AS score FROM sc", *_scored_sql("red bolt")),
     "search_with_relationships": with_views(
         """SELECT node, id, dir, rn FROM (SELECT node, id, dir, CAST(row_number() OVER (PARTITION BY node ORDER BY dir, id) AS INT) AS rn FROM
         (SELECT h.id AS node, r.id, 0 AS dir FROM h JOIN res r ON r.source_id = h.id UNION ALL SELECT h.id, r.id, 1 FROM h JOIN res r ON r.target_id = h.id AND r.source_id <> r.target_id) q) w WHERE rn <= 24""",
-        _RES, *_scored_sql("FRANCE"), "h AS (SELECT id FROM sc ORDER BY score DESC, length(name), file_path, id LIMIT 5)"),
+        _RES, *_scored_sql("NATION_"), "h AS (SELECT id FROM sc ORDER BY score DESC, length(name), file_path, id LIMIT 5)"),
     "term_frequencies": with_views("SELECT id, lexeme, CAST(frequency AS BIGINT) AS frequency FROM lex", _LEX),
     "lexeme_df": with_views("SELECT lexeme, count(*) AS df FROM lex GROUP BY 1", _LEX),
     "bm25_corpus_stats": with_views("SELECT n, total AS total_length, round(CAST(mean AS DOUBLE), 6) AS average_length FROM st", _LEX, _STATS),

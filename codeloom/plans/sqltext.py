@@ -9,7 +9,7 @@ GENERATED_SQL = "regexp_matches(file_path, '(?i)(\\.designer\\.cs|\\.g\\.cs|\\.g
 
 
 def with_views(query: str, *more: str) -> str:
-    parts = [f"sym AS ({SYMBOLS})", f"rel AS ({RELATIONSHIPS})", *more]
+    parts = [f"sym AS MATERIALIZED ({SYMBOLS})", f"rel AS MATERIALIZED ({RELATIONSHIPS})", *more]
     return "WITH " + ", ".join(parts) + " " + query
 
 

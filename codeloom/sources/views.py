@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.sources.pack import Pack
+from codeloom.sources.shared import shared_dir
+
 SYMBOLS = """
 SELECT id,'repo' AS repository_id,project,file_path,name,qualified_name,kind,start_line,start_column,end_line,80 AS end_column,signature,language,module_id,CAST(NULL AS STRING) AS structural_identity FROM (
 SELECT 'reg:'||lpad(CAST(r_regionkey AS STRING),3,'0') AS id, CAST(NULL AS STRING) AS project, 'geo/regions.ts' AS file_path, r_name AS name, 'World.'||r_name AS qualified_name, 'namespace' AS kind, CAST(r_regionkey+1 AS INT) AS start_line, 1 AS start_column, CAST(r_regionkey+1 AS INT) AS end_line, 'namespace '||r_name AS signature, 'typescript' AS language, 'typescript-syntax' AS module_id FROM region
@@ -42,12 +46,29 @@ def star_tables(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(_TABLE.sub(r"\1 {\2}", sql), **frames)
 
 
+_PACKS: dict[tuple, Pack] = {}
+
+
+def pack(spark: SparkSession, sf_dir: str) -> Pack:
+    """The graph of the tables in ``sf_dir`` as a pack in the shared folder: one for a session and a
+    state of the files, as a store has one for a generation."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir.rstrip("/"))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), state)
+    if key not in _PACKS:
+        # Star tables are a graph's raw form: DISTINCT and joins over all of them are paid once.
+        root = f"{shared_dir(spark)}/codeloom-pack-{uuid.uuid4().hex}"
+        _PACKS[key] = Pack(spark, root, lambda: star_tables(spark, sf_dir, SYMBOLS), lambda: star_tables(spark, sf_dir, RELATIONSHIPS))
+    return _PACKS[key]
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star_tables(spark, sf_dir, SYMBOLS)
+    return pack(spark, sf_dir).table("base")
 
 
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star_tables(spark, sf_dir, RELATIONSHIPS)
+    return pack(spark, sf_dir).table("relationships")
 
 
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
