@@ -18,8 +18,8 @@ component need no further comparison. What remains is joined pairwise across com
 and the nodes of a bucket's main component are never joined with each other. No link that
 could join two components is lost.
 
-Shingles are 64-bit hashes. Two different shingles of one pair of documents are taken as
-equal with a probability of about n^2 / 2^64.
+Shingles are 56-bit hashes. Two different shingles of one pair of documents are taken as
+equal with a probability of about n^2 / 2^56.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, components, read_table
+from codeloom.llm.common import Scratch, components, read_table, release
 
 MOST_MATCHES = 4
 PARITY = tuple(f"b{i}" for i in range(8))
@@ -42,13 +42,13 @@ PAIRS_PER_ENTRY = 64
 PIVOT_ROUNDS = 6
 CACHE_WORDS = 400_000
 #: Bounds of a batch, whose documents have 16-bit numbers.
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_000_000
 BATCH_DOCS = 60_000
 #: A shingle that so many documents of a batch have is counted without naming them.
 COMMON = 8
 #: A hash range holds the shingles of about so many bytes of text; a task has one range, or more
 #: in turn where there would be over ``MOST_TASKS`` tasks.
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 8 << 20
 LEAST_TASKS, MOST_TASKS = 32, 1 << 15
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -92,7 +92,7 @@ class Shingler:
         out = np.full(len(words) - n + 1, n, dtype=np.uint64)
         for i in range(n):
             out = mix((out + words[i : i + len(out)]) * _P1)
-        return np.unique(out)
+        return np.unique(out >> np.uint64(8))
 
 
 def ceil_share(n, num: int, den: int):
@@ -106,15 +106,17 @@ def key_of(tokens: np.ndarray) -> tuple[int, int]:
 
 def planes(tokens: np.ndarray) -> bytes:
     """Hashes byte plane by byte plane: those of a sorted range have leading planes that compress."""
-    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :7].T).tobytes()
 
 
 def tokens_of(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    out = np.zeros((len(planes) // 7, 8), dtype=np.uint8)
+    out[:, :7] = np.frombuffer(planes, dtype=np.uint8).reshape(7, -1).T
+    return out.view(np.uint64).ravel()
 
 
 def range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
-    return ((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    return ((tokens >> np.uint64(24)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 def slots(counts: np.ndarray, keep: np.ndarray) -> np.ndarray:
@@ -346,6 +348,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     base = scratch.keep(shingle_sets(docs.select("doc_id", "text"), width, num, den), "base")
+    release(spark)
     side = ("node", "component", "n", "pos", *PARITY)
 
     # Equal sets have equal columns, so any row's do.
