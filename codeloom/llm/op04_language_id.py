@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import read_table
+from codeloom.llm.common import give_back, read_table
 
 PROFILE_GRAMS = 400
 #: About how many labelled texts of each language the profiles are learned from, at most.
@@ -145,8 +145,10 @@ def language(profiles: Profiles, text: str = "text") -> Column:
     has no letter, or where no language was learned."""
 
     @F.pandas_udf("lang string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang", "score"])
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang", "score"])
+        give_back()
 
     return predict(F.col(text))
 

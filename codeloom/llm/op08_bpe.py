@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import read_table
+from codeloom.llm.common import read_table, tidy
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 CACHE_WORD_CHARS = 64
 BATCH_ROWS = 256
 #: str.split also takes four control characters as white space, which the pattern doesn't.
@@ -212,7 +212,7 @@ def encode_documents(docs: DataFrame, path: str, digest_only: bool = True, keep:
                 out = part.drop(columns="__text").assign(n_tokens=n, ids_sha256=own, decoded_sha256=back)
                 yield out if digest_only else out.assign(ids=ids_out, decoded=texts)
 
-    return source.mapInPandas(run, ", ".join(fields))
+    return source.mapInPandas(tidy(run), ", ".join(fields))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, components, read_table, release
+from codeloom.llm.common import Scratch, components, read_table, release, tidy
 
 MOST_MATCHES = 4
 PARITY = tuple(f"b{i}" for i in range(8))
@@ -40,10 +41,11 @@ PARITY = tuple(f"b{i}" for i in range(8))
 #: the prefix entries, but no more rounds than that.
 PAIRS_PER_ENTRY = 64
 PIVOT_ROUNDS = 6
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Bounds of a batch, whose documents have 16-bit numbers.
 BATCH_TOKENS = 1_000_000
 BATCH_DOCS = 60_000
+ROWS_AT_ONCE = 512
 #: A shingle that so many documents of a batch have is counted without naming them.
 COMMON = 8
 #: A hash range holds the shingles of about so many bytes of text; a task has one range, or more
@@ -161,7 +163,7 @@ class Batches:
     def full(self) -> bool:
         return self.size >= BATCH_TOKENS or len(self.ids) >= BATCH_DOCS
 
-    def rows(self) -> pd.DataFrame:
+    def rows(self) -> pa.RecordBatch:
         ids, sets = self.ids, self.sets
         n = np.array([len(x) for x in sets], dtype=np.int64)
         tokens = np.concatenate(sets)
@@ -185,15 +187,21 @@ class Batches:
             part = few[ends[lo] - named[lo] : ends[hi - 1]]
             out.append((int(at[lo]), self.next, planes(distinct[lo:hi]), counts[lo:hi].astype("<u4").tobytes(), part.tobytes(), None))
         self.next, self.ids, self.sets, self.size = self.next + 1, [], [], 0
-        return pd.DataFrame(out, columns=PACKED_COLUMNS)
+        return records(out, PACKED_FIELDS)
 
 
-PACKED_COLUMNS = ["range", "batch", "tokens", "counts", "owners", "about"]
+PACKED_FIELDS = pa.schema([("range", pa.int64()), ("batch", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary()), ("owners", pa.binary()), ("about", pa.binary())])
+COUNTED_FIELDS = pa.schema([("batch", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary()), ("owners", pa.binary()), ("levels", pa.binary()), ("about", pa.binary())])
 PACKED = "range long, batch long, tokens binary, counts binary, owners binary, about binary"
 COUNTED = "batch long, tokens binary, counts binary, owners binary, levels binary, about binary"
 
 
-def counted(rows: list[tuple]) -> pd.DataFrame:
+def records(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+
+def counted(rows: list[tuple]) -> pa.RecordBatch:
     """The rows of one hash range, with only those shingles that two documents have, and their levels."""
     tokens = [tokens_of(r[2]) for r in rows]
     counts = [np.frombuffer(r[3], dtype="<u4").astype(np.int64) for r in rows]
@@ -208,21 +216,22 @@ def counted(rows: list[tuple]) -> pd.DataFrame:
         owners = np.frombuffer(row[4], dtype=np.uint16)[slots(named, keep)]
         if keep.any():
             out.append((row[1], planes(t[keep]), named[keep].astype(np.uint8).tobytes(), owners.tobytes(), level_of(documents[keep]).tobytes(), None))
-    return pd.DataFrame(out, columns=["batch", "tokens", "counts", "owners", "levels", "about"])
+    return records(out, COUNTED_FIELDS)
 
 
-def count_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def count_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts each hash range of a partition that is sorted by range; what is for the batch itself passes."""
     held: list[tuple] = []
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            if row.range < 0:
-                yield pd.DataFrame([(row.batch, row.tokens, row.counts, row.owners, None, row.about)], columns=["batch", "tokens", "counts", "owners", "levels", "about"])
+        for i in range(batch.num_rows):
+            row = tuple(batch.column(c)[i].as_py() for c in range(batch.num_columns))
+            if row[0] < 0:
+                yield records([(*row[1:5], None, row[5])], COUNTED_FIELDS)
                 continue
-            if held and held[0][0] != row.range:
+            if held and held[0][0] != row[0]:
                 yield counted(held)
                 held = []
-            held.append(tuple(row))
+            held.append(row)
     if held:
         yield counted(held)
 
@@ -295,22 +304,24 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     ranges = max(LEAST_TASKS, bytes_read // RANGE_BYTES)
     tasks = min(MOST_TASKS, ranges)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            for doc_id, text, partition in zip(batch["id"], batch["text"], batch["at"], strict=True):
-                held = held or Batches(width, ranges, int(partition))
-                held.add(None if pd.isna(doc_id) else int(doc_id), text)
-                if held.full():
-                    yield held.rows()
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(lo, ROWS_AT_ONCE)
+                for doc_id, text, partition in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+                    held = held or Batches(width, ranges, partition)
+                    held.add(doc_id, text)
+                    if held.full():
+                        yield held.rows()
         if held and held.ids:
             yield held.rows()
 
-    read = docs.select(F.col("doc_id").cast("long").cast("string").alias("id"), "text", F.spark_partition_id().alias("at"))
-    packed = read.mapInPandas(pack, PACKED)
+    read = docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("at"))
+    packed = read.mapInArrow(tidy(pack), PACKED)
     to = F.when(F.col("range") < 0, F.pmod("batch", F.lit(tasks))).otherwise(F.pmod("range", F.lit(tasks))).cast("int")
     dealt = packed.repartitionById(tasks, to).sortWithinPartitions("range")
-    return dealt.mapInPandas(count_ranges, COUNTED).groupBy("batch").applyInPandas(lambda rows: assembled(rows, num, den), SETS)
+    return dealt.mapInArrow(tidy(count_ranges), COUNTED).groupBy("batch").applyInPandas(lambda rows: assembled(rows, num, den), SETS)
 
 
 def fits(a: str, b: str, num: int, den: int):

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 op9 = pytest.importorskip("codeloom.llm.op09_jaccard_join")
@@ -23,10 +24,10 @@ def test_shared_shingles_come_back_in_global_order(ranges):
         if i % 25 == 24:
             made.append(batches.rows())
     made.append(batches.rows())
-    rows = pd.concat(made)
-    assert rows["batch"].nunique() == len(made)
-    found = list(op9.count_ranges(iter([rows.sort_values("range", kind="stable")])))
-    got = pd.concat([op9.assembled(part, 80, 100) for _, part in pd.concat(found).groupby("batch")]).reset_index(drop=True)
+    rows = pa.Table.from_batches(made).sort_by("range")
+    assert len(set(rows["batch"].to_pylist())) == len(made)
+    found = pa.Table.from_batches(op9.count_ranges(iter(rows.to_batches()))).to_pandas()
+    got = pd.concat([op9.assembled(part, 80, 100) for _, part in found.groupby("batch")]).reset_index(drop=True)
     shingler = op9.Shingler(2)
     sets = [set(shingler.set(t).tolist()) for t in texts]
     held = {}
