@@ -5,10 +5,8 @@ from __future__ import annotations
 import hashlib
 import struct
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def canonical_hash(parts: list[str | int | None], digits: int = 24) -> str:
@@ -27,15 +25,24 @@ def canonical_hash(parts: list[str | int | None], digits: int = 24) -> str:
     return hashlib.sha256(bytes(out)).hexdigest()[:digits]
 
 
-@F.pandas_udf(StringType())
-def declaration_hash(repository: pd.Series, module: pd.Series, kind: pd.Series, qualified: pd.Series, path: pd.Series, line: pd.Series, column: pd.Series) -> pd.Series:
-    rows = zip(repository, module, kind, qualified, path.str.replace("\\", "/"), line, column, strict=True)
-    return pd.Series([canonical_hash([a, b, c, d, e, int(f), int(g)]) for a, b, c, d, e, f, g in rows])
+def _int_bytes(c: Column) -> Column:
+    """A whole number as four bytes, little-endian."""
+    digits = F.substring(F.lpad(F.hex(c.cast("long")), 16, "0"), 9, 8)
+    return F.unhex(F.concat(*[F.substring(digits, at, 2) for at in (7, 5, 3, 1)]))
 
 
-def declaration_id(prefix: str = "") -> Column:
-    names = ("repository_id", "module_id", "kind", "qualified_name", "file_path", "start_line", "start_column")
-    return declaration_hash(*[F.col(prefix + n) for n in names])
+def _text_bytes(c: Column) -> Column:
+    raw = F.coalesce(c, F.lit("")).cast("binary")
+    return F.concat(_int_bytes(F.length(raw)), raw)
+
+
+def declaration_id(prefix: str = "", digits: int = 24) -> Column:
+    """``canonical_hash`` of a declaration's columns; a missing line or column counts as 0."""
+    texts = [F.col(prefix + n) for n in ("repository_id", "module_id", "kind", "qualified_name")]
+    path = F.replace(F.col(prefix + "file_path"), F.lit("\\"), F.lit("/"))
+    numbers = [F.coalesce(F.col(prefix + n), F.lit(0)) for n in ("start_line", "start_column")]
+    form = F.concat(F.unhex(F.lit("01")), *[_text_bytes(c) for c in (*texts, path)], *[_int_bytes(c) for c in numbers])
+    return F.substring(F.sha2(form, 256), 1, digits)
 
 
 def logical_identity(namespace: list[str], types: list[tuple[str, int]], name: str, arity: int, parameters: list[tuple[str, str, str | None]]) -> str:

@@ -77,9 +77,10 @@ def list_rollup(files: DataFrame, part: str | None = None, limit: int = 500) ->
     return rows.orderBy("file_path").limit(limit + 1)
 
 
-def outline(symbols: DataFrame, path: str, most: int = 500) -> DataFrame:
-    """A file's symbols in order of position, without textual evidence."""
-    most = min(max(most, 1), 500)
+def outline(symbols: DataFrame, path: str, most: int = 500, more: int = 0) -> DataFrame:
+    """A file's symbols in order of position, without textual evidence; ``more`` rows beyond the limit
+    (500 at most) show whether that left any out."""
+    most = min(max(most, 1), 500) + more
     path = path.replace("\\", "/")
     rows = symbols.where((F.col("file_path") == path) & (F.col("kind") != TEXTUAL))
     return rows.orderBy("start_line", "start_column", "id").limit(most)

@@ -60,7 +60,7 @@ def outline_compact(rows: DataFrame) -> DataFrame:
 
 
 def outline_without_file(rows: DataFrame) -> DataFrame:
-    return rows.select(*[c for c in columns(COMPACT) if "file_path" not in str(c)])
+    return project(rows, COMPACT).drop("file_path")
 
 
 def wire_json(symbols: DataFrame) -> DataFrame:

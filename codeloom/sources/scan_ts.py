@@ -7,6 +7,7 @@ then resolved by joins over all files.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import edge_id, language, resolve_relative
-from codeloom.operators.store_checks import resolve_paths
+from codeloom.operators.store_checks import enclosing, resolve_paths
 
 MODULE = "typescript-syntax"
+SUFFIXES = r"\\.([cm]?[jt]s|[jt]sx)$"
 _TOKEN = re.compile(
     r"(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?)|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<mark>=>|\.\.\.|.)",
     re.S,
@@ -82,6 +84,30 @@ def scan(source: str) -> tuple[list[dict], list[dict]]:
             else:
                 i = closes.get(i, i) + 1
 
+    def literal(i: int, last: int, owner: str, sign: str) -> None:
+        """Members of an object or type literal that a variable or type is declared as."""
+        while i < last and found[i].text != "=":
+            i = closes.get(i, i) + 1
+        at = i + 1
+        if not (i < last and at <= last and found[at].text == "{" and at in closes):
+            return
+        k, end = at + 1, closes[at]
+        while k < end:
+            t, after = found[k], found[k + 1].text
+            until = k
+            while until < end and found[until].text not in (",", ";"):
+                if sign == ":" and until > k and found[until].kind == "name" and "\n" in source[found[until - 1].at : found[until].at]:
+                    break
+                until = closes.get(until, until) + 1
+            key = t.kind in ("name", "string") and after in (":", "(", "?", ",", "}", ";", "<")
+            if key and (t.kind == "name" or after == ":"):
+                value = next((found[j].text for j in range(k + 1, min(k + 4, until)) if found[j].text in ("function", "(", "async")), "")
+                arrow = any(found[j].text == "=>" for j in range(k, min(until, k + 60)))
+                method = after in ("(", "<") or sign == "=" and after == ":" and value and (arrow or value == "function")
+                name = Token(t.kind, t.text.strip("\"'`"), t.at)
+                declare(k, name, "method" if method else "property", owner, max(k, until - 1))
+            k = until + 1 if until < end and found[until].text in (",", ";") else max(until, k + 1)
+
     for i, t in enumerate(found[:-1]):
         after = found[i + 1]
         previous = found[i - 1].text if i else ""
@@ -90,6 +116,8 @@ def scan(source: str) -> tuple[list[dict], list[dict]]:
         if t.text in _DECLARING and after.kind == "name" and after.text not in _WORDS and previous != ".":
             last, brace = body_end(i + 2)
             declare(i, after, _DECLARING[t.text], "", last)
+            if t.text == "type" or t.text in ("const", "let", "var"):
+                literal(i + 2, last, after.text, ":" if t.text == "type" else "=")
             if t.text in ("class", "interface") and brace is not None:
                 members(brace + 1, last, after.text)
                 relation = None
@@ -117,8 +145,15 @@ def scan(source: str) -> tuple[list[dict], list[dict]]:
     return declared, [u for u in uses if u["at"] not in starts and (u["name"], u["at"]) not in names]
 
 
-def _position(source: str, at: int) -> tuple[int, int]:
-    return source.count("\n", 0, at) + 1, at - (source.rfind("\n", 0, at) + 1) + 1
+class Lines:
+    """Line and column (from 1) of offsets, from one table of line starts."""
+
+    def __init__(self, source: str):
+        self.starts = [0, *(m.end() for m in re.finditer("\n", source))]
+
+    def position(self, at: int) -> tuple[int, int]:
+        line = bisect_right(self.starts, at)
+        return line, at - self.starts[line - 1] + 1
 
 
 def scan_files(files: DataFrame) -> DataFrame:
@@ -130,13 +165,14 @@ def scan_files(files: DataFrame) -> DataFrame:
             rows = []
             for path, text in zip(batch["path"], batch["text"], strict=True):
                 text = text or ""
-                last = _position(text, len(text))
+                position = Lines(text).position
+                last = position(len(text))
                 rows.append((path, "declaration", "module", path.rsplit("/", 1)[-1], "", 0, len(text), 1, 1, *last, path))
                 declared, uses = scan(text)
                 for d in declared:
-                    rows.append((path, "declaration", d["kind"], d["name"], d["owner"], d["start"], d["end"], *_position(text, d["start"]), *_position(text, d["end"]), d["signature"]))
+                    rows.append((path, "declaration", d["kind"], d["name"], d["owner"], d["start"], d["end"], *position(d["start"]), *position(d["end"]), d["signature"]))
                 for u in uses:
-                    rows.append((path, "use", u["kind"], u["name"], "", u["at"], u["at"], *_position(text, u["at"]), *_position(text, u["at"]), ""))
+                    rows.append((path, "use", u["kind"], u["name"], "", u["at"], u["at"], *position(u["at"]), *position(u["at"]), ""))
             yield pd.DataFrame(rows, columns=[f.split()[0].strip("`") for f in fields.split(", ")])
 
     return files.select("path", "text").mapInPandas(run, fields)
@@ -155,10 +191,11 @@ def analyze(files: DataFrame, repository_id: str) -> tuple[DataFrame, DataFrame]
         "signature", language(F.col("path")).alias("language"), F.lit(MODULE).alias("module_id"), F.lit(None).cast("string").alias("structural_identity"), "start", "end",
     )
     u = facts.where("fact = 'use'").select(F.col("path").alias("file_path"), F.col("kind").alias("use"), F.col("name").alias("wanted"), F.col("start").alias("at"), "line", "col")
-    around = symbols.where("kind <> 'variable' and kind <> 'property'").select("file_path", F.col("id").alias("owner_id"), "start", "end")
-    inside = u.join(around, "file_path").where("at between start and `end`")
-    owner = F.min_by("owner_id", F.struct(F.col("end") - F.col("start"), F.col("owner_id"))).alias("source_id")
-    owned = inside.groupBy("file_path", "use", "wanted", "at", "line", "col").agg(owner)
+    # Offsets take the place of lines: the shortest declaration around each use.
+    around = symbols.where("kind <> 'variable' and kind <> 'property'").select("file_path", "id", F.col("start").alias("start_line"), F.col("end").alias("end_line"))
+    spots = u.select("file_path", "at").distinct().select("file_path", F.col("at").alias("line"), F.concat_ws("|", "file_path", F.col("at").cast("string")).alias("id"))
+    owners = enclosing(around, spots).select(F.col("edge_id").alias("spot"), F.col("owner_id").alias("source_id"))
+    owned = u.withColumn("spot", F.concat_ws("|", "file_path", F.col("at").cast("string"))).join(owners, "spot").select("file_path", "use", "wanted", "at", "line", "col", "source_id").distinct()
     by_name = symbols.where("kind <> 'module'").groupBy(F.col("name").alias("wanted")).agg(F.min_by("id", F.struct("file_path", "start")).alias("target_id"))
     named = owned.where("use <> 'imports'").join(by_name, "wanted")
     specs = owned.where("use = 'imports' and wanted like '.%'")
