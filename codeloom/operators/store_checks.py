@@ -91,6 +91,7 @@ def enclosing(declarations: DataFrame, uses: DataFrame, modules: DataFrame | Non
     return found.select("edge_id", "owner_id")
 
 
+#: What a specifier may leave out, in the order that is tried.
 IMPORT_SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts")
 
 
@@ -104,9 +105,9 @@ def resolve_paths(imports: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def resolve_imports(symbols: DataFrame) -> DataFrame:
-    files = symbols.select("file_path").where("file_path like 'geo/%'").distinct()
-    bare = F.regexp_replace("file_path", "^geo/", "")
-    imports = files.select(bare.alias("importer"), F.concat(F.lit("GEO/"), F.regexp_replace(bare, r"\.ts$", "")).alias("spec"))
+    """Each file imported by a specifier that is its path in upper case, without ``.ts``."""
+    files = symbols.select("file_path").distinct()
+    imports = files.select(F.col("file_path").alias("importer"), F.upper(F.regexp_replace("file_path", r"\.ts$", "")).alias("spec"))
     return resolve_paths(imports, files)
 
 
@@ -126,8 +127,8 @@ def project_scores(symbols: DataFrame) -> DataFrame:
 
 
 def project_score(symbols: DataFrame) -> DataFrame:
-    """The first twenty of ``project_scores``."""
-    return project_scores(symbols).orderBy(F.desc("score"), F.length("file_path"), "file_path").limit(20)
+    """The project to open: the best of ``project_scores``, the shortest and first path of equals."""
+    return project_scores(symbols).orderBy(F.desc("score"), F.length("file_path"), "file_path").limit(1)
 
 
 def dedupe_first(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

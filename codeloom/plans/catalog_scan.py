@@ -116,16 +116,15 @@ QUERIES = {
     "token_budget_projection": _sym(lambda s: p.within_budget(s, [F.col("id")], p.ORIENTATION, 100, 2000).select("id", "tokens", "rn", "total")),
     "estimated_tokens": _sym(lambda s: p.project(s).select("id", p.tokens_of(p.ORIENTATION).alias("tokens"))),
     "dedupe_first": _sym(lambda s: s.withColumn("rn", F.row_number().over(Window.partitionBy("name").orderBy("module_id", "id"))).where("rn = 1").select("name", "id")),
-    "resolve_by_name": _both(lambda s, r: sc.resolve_by_name(s, r.where("kind = 'contains'"))),
-    "enclosing_declaration": _both(lambda s, r: sc.enclosing(s.where("kind = 'Method'"), r.where("kind = 'references'"))),
+    "resolve_by_name": _both(lambda s, r: sc.resolve_by_name(s, r)),
+    "enclosing_declaration": _both(lambda s, r: sc.enclosing(s.where("kind not in ('textual-evidence', 'module')"), r)),
     "enclosing_symbol": _both(lambda s, r: sc.enclosing(s.where("kind not in ('textual-evidence', 'module')"), r, s.where("kind = 'module'"))),
     "resolve_imports": _sym(lambda s: sc.resolve_imports(s)),
     "verify_parity": _sym(lambda s: sc.parity(s, s.where("id <> 'nat:000'").unionByName(s.where("id = 'nat:001'").withColumn("id", F.lit("nat:999"))))),
     "incremental_merge": _sym(lambda s: _syms(sc.merge(s, _delta(s), ["module_id", "file_path"]))),
     "module_replace": _sym(lambda s: _syms(sc.merge(s, _delta(s), ["module_id"]))),
     "identity_violations": _sym(lambda s: sc.identity_violations(s.unionByName(_delta(s).withColumn("file_path", F.lit("src/customers/Other.cs"))))),
-    "delta_violations": _sym(lambda s: _syms(sc.delta_violations(s, "csharp-roslyn", ["src/customers/building.cs"])).where("file_path like 'geo/%' or file_path like 'src/parts/%'")),
-    "delta_violations_all": _sym(lambda s: _syms(sc.delta_violations(s, "csharp-roslyn", ["src/customers/building.cs"]))),
+    "delta_violations": _sym(lambda s: _syms(sc.delta_violations(s, "csharp-roslyn", ["src/customers/building.cs"]))),
     "get_source": lambda spark, d: src.get_source(views.source_lines(spark, d), _path(spark, d), 1, 0),
     "get_source_window_cap": lambda spark, d: src.get_source(views.source_lines(spark, d), _path(spark, d), 2, 50, most=5),
     "fn_normalize": _sym(lambda s: s.select("id", text.normalize(F.concat(F.lit("A\\"), F.col("qualified_name"))).alias("value"))),
@@ -173,9 +172,29 @@ _COMPACT = _ORIENT + ", project, nullif(signature, name) AS signature, nullif(en
 _OUTLINE = f"SELECT * FROM sym WHERE file_path = 'geo/regions.ts' AND {_TEXT}"
 _TOKENS = "greatest(1, (length(id) + length(name) + length(kind) + coalesce(length(nullif(qualified_name, name)), 0) + length(file_path) + 75) // 4)"
 _GROUPS = "SELECT source_id, target_id, kind, file_path, count(*) AS occurrences, array_to_string(list_slice(list_sort(list(DISTINCT line)), 1, 8), ',') AS lines FROM rel GROUP BY 1, 2, 3, 4"
-_IMPORT_SQL = "SELECT file_path AS importer, 'GEO/' || replace(file_path, '.ts', '') AS spec"
+#: The smallest declaration around each line of a use.
+_AROUND_SQL = """(SELECT file_path, line, id AS owner_id FROM (SELECT l.file_path, l.line, s.id, row_number() OVER (PARTITION BY l.file_path, l.line ORDER BY s.end_line - s.start_line, s.start_line DESC, s.id) AS k
+          FROM (SELECT DISTINCT file_path, line FROM rel) l JOIN sym s ON s.file_path = l.file_path AND l.line BETWEEN s.start_line AND s.end_line WHERE s.kind NOT IN ('textual-evidence', 'module')) q WHERE k = 1)"""
+
+
+
+def _le_sql(n: str) -> str:
+    return "(" + " || ".join(f"substr(printf('%08x', {n}), {at}, 2)" for at in (7, 5, 3, 1)) + ")"
+
+
+def _bytes_sql(c: str) -> str:
+    return f"({_le_sql(f'octet_length(encode({c}))')} || hex(encode({c})))"
+
+
+_FORM_SQL = " || ".join(["'01'", *[_bytes_sql(c) for c in ("repository_id", "module_id", "kind", "qualified_name", "file_path")], _le_sql("start_line"), _le_sql("start_column")])
+_WIRE_SQL = ", ".join([
+    "'id', id, 'name', name, 'kind', kind, 'qualifiedName', nullif(qualified_name, name), 'filePath', file_path, 'startLine', start_line",
+    "'project', project, 'signature', nullif(signature, name), 'endLine', nullif(end_line, start_line)",
+])
 
 ORACLES = {
+    "fn_declaration_id": with_views(f"SELECT id, substr(sha256(unhex({_FORM_SQL})), 1, 24) AS value FROM sym"),
+    "wire_json": with_views(f"SELECT id, CAST(json_merge_patch('{{}}', json_object({_WIRE_SQL})) AS VARCHAR) AS json FROM sym"),
     "scan_symbols": with_views(f"SELECT {SYM} FROM sym"),
     "scan_relationships": with_views(f"SELECT {EDGE} FROM rel"),
     "symbol_lookup": with_views(f"SELECT {SYM} FROM sym WHERE id = 'nat:000'"),
@@ -219,21 +238,17 @@ ORACLES = {
     "token_budget_projection": with_views(f"SELECT id, tokens, rn, total FROM (SELECT id, tokens, CAST(row_number() OVER (ORDER BY id) AS INT) AS rn, CAST(sum(tokens) OVER (ORDER BY id) AS BIGINT) AS total FROM (SELECT id, CAST({_TOKENS} AS BIGINT) AS tokens FROM sym ORDER BY id LIMIT 100) q) w WHERE rn = 1 OR total <= 2000"),
     "estimated_tokens": with_views(f"SELECT id, CAST({_TOKENS} AS BIGINT) AS tokens FROM sym"),
     "dedupe_first": with_views("SELECT name, id FROM (SELECT name, id, row_number() OVER (PARTITION BY name ORDER BY module_id, id) AS rn FROM sym) q WHERE rn = 1"),
-    "resolve_by_name": with_views("SELECT r.id AS edge_id, n.name, f.id AS resolved_id FROM rel r JOIN sym n ON n.id = r.target_id JOIN (SELECT name, min(id) AS id FROM sym WHERE kind <> 'module' GROUP BY 1) f ON f.name = n.name WHERE r.kind = 'contains'"),
-    "enclosing_declaration": with_views("SELECT edge_id, owner_id FROM (SELECT r.id AS edge_id, s.id AS owner_id, row_number() OVER (PARTITION BY r.id ORDER BY s.end_line - s.start_line, s.start_line DESC, s.id) AS k FROM rel r JOIN sym s ON s.file_path = r.file_path AND s.kind = 'Method' AND r.line BETWEEN s.start_line AND s.end_line WHERE r.kind = 'references') q WHERE k = 1"),
+    "resolve_by_name": with_views("SELECT r.id AS edge_id, n.name, f.id AS resolved_id FROM rel r JOIN sym n ON n.id = r.target_id JOIN (SELECT name, min(id) AS id FROM sym WHERE kind <> 'module' GROUP BY 1) f ON f.name = n.name"),
+    "enclosing_declaration": with_views(f"SELECT r.id AS edge_id, o.owner_id FROM rel r JOIN {_AROUND_SQL} o ON o.file_path = r.file_path AND o.line = r.line"),
     "enclosing_symbol": with_views(
-        """SELECT r.id AS edge_id, coalesce(o.owner_id, m.id) AS owner_id FROM rel r
-        LEFT JOIN (SELECT file_path, line, id AS owner_id FROM (SELECT l.file_path, l.line, s.id, row_number() OVER (PARTITION BY l.file_path, l.line ORDER BY s.end_line - s.start_line, s.start_line DESC, s.id) AS k
-          FROM (SELECT DISTINCT file_path, line FROM rel) l JOIN sym s ON s.file_path = l.file_path AND l.line BETWEEN s.start_line AND s.end_line WHERE s.kind NOT IN ('textual-evidence', 'module')) q WHERE k = 1) o
-          ON o.file_path = r.file_path AND o.line = r.line
+        f"""SELECT r.id AS edge_id, coalesce(o.owner_id, m.id) AS owner_id FROM rel r LEFT JOIN {_AROUND_SQL} o ON o.file_path = r.file_path AND o.line = r.line
         LEFT JOIN (SELECT file_path, min(id) AS id FROM sym WHERE kind = 'module' GROUP BY 1) m ON m.file_path = r.file_path"""),
-    "resolve_imports": with_views(f"SELECT importer, spec, lower(spec) || '.ts' AS resolved FROM ({_IMPORT_SQL} FROM (SELECT DISTINCT regexp_replace(file_path, '^geo/', '') AS file_path FROM sym WHERE starts_with(file_path, 'geo/')) q) i"),
+    "resolve_imports": with_views("SELECT file_path AS importer, upper(regexp_replace(file_path, '[.]ts$', '')) AS spec, file_path AS resolved FROM (SELECT DISTINCT file_path FROM sym) q"),
     "verify_parity": with_views("SELECT 'missing' AS problem, 'nat:000' AS id UNION ALL SELECT 'extra', 'nat:999'"),
     "incremental_merge": with_views(f"SELECT {SYM} FROM sym WHERE NOT (module_id = 'csharp-roslyn' AND file_path = 'src/customers/building.cs') UNION ALL SELECT {SYM} FROM d", _DELTA_SQL),
     "module_replace": with_views(f"SELECT {SYM} FROM sym WHERE module_id <> 'csharp-roslyn' UNION ALL SELECT {SYM} FROM d", _DELTA_SQL),
     "identity_violations": with_views("SELECT id, 'duplicate' AS problem FROM sym WHERE module_id = 'csharp-roslyn' AND file_path = 'src/customers/building.cs'"),
-    "delta_violations": with_views(f"SELECT {SYM} FROM sym WHERE file_path LIKE 'geo/%' OR file_path LIKE 'src/parts/%'"),
-    "delta_violations_all": with_views(f"SELECT {SYM} FROM sym WHERE NOT (module_id = 'csharp-roslyn' AND file_path = 'src/customers/building.cs')"),
+    "delta_violations": with_views(f"SELECT {SYM} FROM sym WHERE NOT (module_id = 'csharp-roslyn' AND file_path = 'src/customers/building.cs')"),
     "get_source": _source_sql(1, 0, 400),
     "get_source_window_cap": _source_sql(2, 50, 5),
     "fn_normalize": with_views("SELECT id, lower(replace('A\\' || qualified_name, '\\', '/')) AS value FROM sym"),
@@ -249,7 +264,7 @@ ORACLES = {
     "fn_edge_id": with_views("SELECT id, substring(sha256(source_id || '|' || target_id || '|' || kind || '|' || file_path || '|' || CAST(line AS STRING)), 1, 24) AS value FROM rel"),
     "fn_generation": "SELECT ts, strftime(ts, '%Y%m%d%H%M%S') || lpad(CAST(CAST(date_part('millisecond', ts) AS INT) % 1000 AS VARCHAR), 3, '0') AS value FROM events",
     "textual_evidence": "SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'), '\\b[A-Za-z_][A-Za-z0-9_]{3,}\\b')) AS token FROM documents) q WHERE regexp_matches(token, '[A-Z_]') GROUP BY 1, 2",
-    "project_score": with_views("SELECT file_path, CASE WHEN file_path LIKE '%.sln' THEN 20 ELSE 0 END - greatest(0, len(string_split(file_path, '/')) - 2) AS score FROM (SELECT DISTINCT file_path FROM sym) q ORDER BY score DESC, length(file_path), file_path LIMIT 20"),
+    "project_score": with_views("SELECT file_path, CASE WHEN file_path LIKE '%.sln' THEN 20 ELSE 0 END - greatest(0, len(string_split(file_path, '/')) - 2) AS score FROM (SELECT DISTINCT file_path FROM sym) q ORDER BY score DESC, length(file_path), file_path LIMIT 1"),
     "project_scores": with_views("SELECT file_path, CASE WHEN lower(file_path) LIKE '%.sln' THEN 20 ELSE 0 END - greatest(0, len(string_split(file_path, '/')) - 2) AS score FROM (SELECT DISTINCT file_path FROM sym) q"),
     "stream_interest": "SELECT 'src/events/u' || CAST(user_id % 50 AS VARCHAR) || '.cs' AS path, count(*) AS n FROM events GROUP BY 1",
 }

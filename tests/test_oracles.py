@@ -38,4 +38,4 @@ def test_same_as_sql(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"fn_declaration_id", "wire_json"}
+    assert set(catalog.queries()) == set(catalog.oracle_sql())

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 def test_delta_violations_are_all_rows_outside_the_delta(spark):
     rows = catalog.queries()["scan_symbols"](spark, SF).collect()
     outside = {r["id"] for r in rows if not (r["module_id"] == "csharp-roslyn" and r["file_path"] == "src/customers/building.cs")}
-    assert {r["id"] for r in catalog.queries()["delta_violations_all"](spark, SF).collect()} == outside
+    assert {r["id"] for r in catalog.queries()["delta_violations"](spark, SF).collect()} == outside
 
 
 def test_enclosing_falls_back_on_the_module(spark):
