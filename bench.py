@@ -7,6 +7,7 @@ import time
 from pyspark.sql import SparkSession
 
 from codeloom import catalog
+from codeloom.sources import views
 
 HEADLINE = (
     "scan_symbols", "resolved_edges", "unresolved_edges", "overview_hubs", "overview_kinds", "overview_top_files", "file_rollup", "edge_groups", "degree_in", "search_exact",
@@ -24,8 +25,13 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     run = lambda name: catalog.queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
-    run("overview_hubs")
-    took = {}
+    run("overview_kinds")
+    # What a commit leaves to its first readers is timed by itself, and counts.
+    began = time.time()
+    pack = views.pack(spark, sf)
+    for table in ("relationships", "outgoing", "incoming", "symbols", "terms", "lexicon", "corpus", "files", "segments"):
+        pack.table(table)
+    took = {"pack_build": round(time.time() - began, 3)}
     for name in HEADLINE:
         began = time.time()
         run(name)

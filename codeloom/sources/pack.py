@@ -21,7 +21,10 @@ from codeloom.operators import search as s
 class Pack:
     """``symbols`` with ``length`` (weighted tokens), ``degree_out`` and ``degree_in``; ``relationships``;
     resolved edges by source (``outgoing``) and by target (``incoming``); postings (``terms``), their
-    counts (``lexicon``) and one row of totals (``corpus``); ``files``; ``segments`` by module and file."""
+    counts (``lexicon``) and one row of totals (``corpus``); ``files``; ``segments`` by module and file.
+
+    Rows are dealt by a hash of their key and id, so that a hot key is in many files, and sorted by
+    key within each, so that a lookup reads few row groups of each."""
 
     def __init__(self, spark: SparkSession, root: str, symbols: Callable[[], DataFrame], relationships: Callable[[], DataFrame]):
         self.spark, self.root, self._symbols, self._relationships = spark, root.rstrip("/"), symbols, relationships
@@ -54,28 +57,29 @@ class Pack:
 
     def _outgoing_table(self) -> DataFrame:
         found = e.resolved(self.table("relationships"), self.table("base"))
-        return found.repartitionByRange("source_id", "id").sortWithinPartitions("source_id", "id")
+        return found.repartition("source_id", "id").sortWithinPartitions("source_id", "id")
 
     def _incoming_table(self) -> DataFrame:
-        return self.table("outgoing").repartitionByRange("target_id", "id").sortWithinPartitions("target_id", "id")
+        return self.table("outgoing").repartition("target_id", "id").sortWithinPartitions("target_id", "id")
 
     def _symbols_table(self) -> DataFrame:
         base, degrees = self.table("base"), e.degrees(self.table("outgoing"))
-        out = base.withColumn("length", s.document_length()).join(degrees, "id", "left")
-        out = out.select(*base.columns, "length", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("degree_out", "degree_in")])
-        return out.repartitionByRange("id").sortWithinPartitions("id")
+        lengths = self.table("terms").groupBy("id").agg(F.sum("frequency").alias("length"))
+        out = base.join(lengths, "id", "left").join(degrees, "id", "left")
+        counts = [F.coalesce(c, F.lit(least)).cast("long").alias(c) for c, least in (("length", 1), ("degree_out", 0), ("degree_in", 0))]
+        return out.select(*base.columns, *counts).sortWithinPartitions("id")
 
     def _terms_table(self) -> DataFrame:
-        return s.term_frequencies(self.table("base")).repartitionByRange("lexeme", "id").sortWithinPartitions("lexeme", "id")
+        return s.term_frequencies(self.table("base")).repartition("lexeme", "id").sortWithinPartitions("lexeme", "id")
 
     def _lexicon_table(self) -> DataFrame:
-        return self.table("terms").groupBy("lexeme").agg(F.count("*").alias("df")).repartitionByRange("lexeme").sortWithinPartitions("lexeme")
+        return self.table("terms").groupBy("lexeme").agg(F.count("*").alias("df")).sortWithinPartitions("lexeme")
 
     def _corpus_table(self) -> DataFrame:
         return s.corpus_totals(self.table("symbols"))
 
     def _files_table(self) -> DataFrame:
-        return o.file_rollup(self.table("base")).repartitionByRange("file_path").sortWithinPartitions("file_path")
+        return o.file_rollup(self.table("base")).sortWithinPartitions("file_path")
 
     def _segments_table(self) -> DataFrame:
         rows = [self.table(t).select("module_id", "file_path", *[F.lit(int(t == c)).alias(c) for c in ("base", "relationships")]) for t in ("base", "relationships")]
