@@ -10,6 +10,8 @@ own number in its source.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ BROADCAST_SOURCES = 100_000
 _BUCKET_DOCS = 2000
 _BUCKET_SLOTS = 50
 _GROUP = 1000
+_RUN = 500
+#: Blocks that one array numbers.
+_RANGE = 10_000
 
 
 def running_total(counts: DataFrame, keys: list[str], order: str, n: str) -> DataFrame:
@@ -55,21 +60,24 @@ def shares(docs: DataFrame, weights: dict[str, float] | None, exponent: float, p
 
 
 def period_slots(table: DataFrame) -> DataFrame:
-    """For each source key and block number in the period: its ``slot`` in it."""
+    """For each source key and block number in the period: its ``slot`` in it. One task takes a step for each
+    slot of the period and source: a few seconds for two thousand sources."""
     row = table.groupBy().agg(F.sort_array(F.collect_list(F.struct("__key", "w", "p"))).alias("s")).where(F.size("s") > 0)
     row = row.selectExpr("s", "s[0].p as p", "transform(s, x -> x.w) as w")
-    # k: each source's next block; the released block of the earliest deadline takes slot t.
+    # k: each source's next block; the released block of the earliest deadline takes slot t. Picks are
+    # gathered in runs, as an array that grows by one element is copied each time.
+    pick = """array_min(filter(transform(w, (x, i) -> named_struct(
+                'd', (st.k[i] + 1) * p div x + if((st.k[i] + 1) * p % x = 0, 0, 1), 'i', i, 'r', st.k[i] * p div x)), c -> c.r <= t))"""
+    run = f"""aggregate(sequence(from, least(from + {_RUN}, p) - 1),
+                named_struct('k', all.k, 'out', cast(array() as array<struct<i:int,k:bigint>>)),
+                (st, t) -> aggregate(array({pick}), st, (a, c) -> named_struct(
+                  'k', transform(a.k, (k, i) -> if(i = c.i, k + 1, k)), 'out', array_append(a.out, named_struct('i', c.i, 'k', a.k[c.i])))))"""
     row = row.selectExpr(
         "s",
-        """aggregate(sequence(cast(0 as bigint), p - 1),
-             named_struct('k', transform(w, x -> cast(0 as bigint)), 'out', cast(array() as array<struct<i:int,k:bigint>>)),
-             (st, t) -> aggregate(
-               array(array_min(filter(transform(w, (x, i) -> named_struct(
-                   'd', (st.k[i] + 1) * p div x + if((st.k[i] + 1) * p % x = 0, 0, 1), 'i', i, 'r', st.k[i] * p div x)), c -> c.r <= t))),
-               st,
-               (a, c) -> named_struct('k', transform(a.k, (k, i) -> if(i = c.i, k + 1, k)),
-                                      'out', array_append(a.out, named_struct('i', c.i, 'k', a.k[c.i]))))
-           ).out as picks""",
+        f"""flatten(aggregate(sequence(cast(0 as bigint), p - 1, cast({_RUN} as bigint)),
+              named_struct('k', transform(w, x -> cast(0 as bigint)), 'out', cast(array() as array<array<struct<i:int,k:bigint>>>)),
+              (all, from) -> aggregate(array({run}), all, (a, one) -> named_struct('k', one.k, 'out', array_append(a.out, one.out)))
+            ).out) as picks""",
     )
     picks = row.select("s", F.posexplode("picks").alias("slot", "pick"))
     return picks.selectExpr("s[pick.i].__key as __key", "pick.k as __k", "cast(slot as bigint) as __slot")
@@ -85,22 +93,31 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: floa
     order of slots and of documents within a block). A source that has run out leaves its slots
     empty; no row is dropped or repeated. Null is a source of its own. Within a source the
     order is by md5 of the doc_id, then doc_id and text; equal rows are placed next to each
-    other. Other columns are carried unless their names start with ``mix_``.
+    other. All columns are carried; one that has the name of an added column gets ``_of_input`` after it.
+    An empty table gives an empty one.
     """
-    carried = [c for c in docs.columns if not c.startswith("mix_")]
+    added = {f"mix_{c}" for c in PLACES}
+    names: dict[str, str] = {}
+    for c in docs.columns:
+        name = f"{c}_of_input" if c in added else c
+        while name != c and (name in docs.columns or name in names.values()):
+            name += "_"
+        names[c] = name
     rows = placed(docs, weights, exponent, block_docs, period)
-    return rows.select(*[F.col(f"__row.`{c}`") for c in carried], *[F.col(f"mix_{c}") for c in PLACES])
+    return rows.select(*[F.col(f"__row.`{c}`").alias(n) for c, n in names.items()], *[F.col(f"mix_{c}") for c in PLACES])
 
 
 PLACES = ("block", "weight", "release", "deadline", "slot", "position")
 
 
-def placed(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = EXPONENT, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
-    """As ``mix``, with each row whole in the struct ``__row``, so that its columns may have any names."""
+def placed(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = EXPONENT, block_docs: int = BLOCK_DOCS, period: int = PERIOD, positions: bool = True, table: DataFrame | None = None) -> DataFrame:
+    """As ``mix``, with each row whole in the struct ``__row``, so that its columns may have any names. Without
+    ``positions`` each row has its slot and its place in the block (``mix_within``) only, which order
+    all rows alike and spare a join of them by slot. ``table`` is that of ``source_table``, if it is there."""
     hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), source_key().alias("__key"), hashed.alias("__h"), F.col("doc_id").alias("__id"), tie.alias("__tie"))
-    table = cut(shares(rows.select("__key"), weights, exponent, period))
+    table = source_table(docs, weights, exponent, period) if table is None else table
     # A join by source would bring a large one to one task; the table has a row a source.
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
@@ -115,16 +132,37 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, exponent: f
     rows = rows.withColumn("__i", F.col("before") + F.col("__r"))
     rows = rows.withColumn("mix_block", F.floor(F.col("__i") / block_docs)).withColumn("__k", F.col("mix_block") % F.col("w"))
     rows = rows.join(slots, ["__key", "__k"]).withColumn("mix_slot", F.expr("p * (mix_block div w) + __slot"))
-    rows = rows.join(slot_starts(table, slots, block_docs), "mix_slot").withColumn("mix_position", F.col("__first") + F.col("__i") % block_docs)
+    rows = rows.withColumn("mix_within", F.col("__i") % block_docs)
+    if not positions:
+        return rows.select("__row", "mix_slot", "mix_within")
+    rows = rows.join(slot_starts(table, slots, block_docs), "mix_slot").withColumn("mix_position", F.col("__first") + F.col("mix_within"))
     return rows.select(
         "__row", "mix_block", (F.col("w") / F.col("p")).alias("mix_weight"), F.expr("mix_block * p div w").alias("mix_release"),
         F.expr("((mix_block + 1) * p + w - 1) div w").alias("mix_deadline"), "mix_slot", "mix_position",
     )
 
 
+def source_table(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = EXPONENT, period: int = PERIOD) -> DataFrame:
+    return cut(shares(docs.select(source_key().alias("__key")), weights, exponent, period))
+
+
+def documents_before(table: DataFrame, block_docs: int = BLOCK_DOCS, points: int = 64) -> list[tuple[int, int]]:
+    """About how many documents lie before each of some slots: pairs of both, the last one beyond all slots."""
+    last = F.expr(f"p * ((n + {block_docs - 1}) div {block_docs} div w + 1)")
+    most = table.agg(F.max(last).alias("t")).first()["t"] or 1
+    slots = sorted({0, most, *(math.ceil(most ** (j / points)) for j in range(1, points))})
+    each = table.select("n", "w", "p", F.explode(F.array(*[F.lit(t).cast("long") for t in slots])).alias("t"))
+    sums = each.groupBy("t").agg(F.sum(F.least("n", F.expr(f"cast(t * double(w) / p * {block_docs} as bigint)"))).alias("d"))
+    return sorted((r["t"], r["d"]) for r in sums.collect())
+
+
 def slot_starts(table: DataFrame, slots: DataFrame, block_docs: int) -> DataFrame:
     """For each used slot the number of documents in all slots before it."""
-    blocks = table.withColumn("mix_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block_docs))))
+    # Numbers of blocks in ranges, which are dealt out before they are counted up.
+    zero, most = F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block_docs)
+    ranges = table.withColumn("__most", most).withColumn("__lo", F.explode(F.sequence(zero, F.col("__most"), F.lit(_RANGE).cast("long"))))
+    ranges = ranges.repartition("__key", "__lo")
+    blocks = ranges.withColumn("mix_block", F.explode(F.sequence(F.col("__lo"), F.least("__most", F.col("__lo") + (_RANGE - 1))))).drop("__lo", "__most")
     blocks = blocks.withColumn("__k", F.col("mix_block") % F.col("w")).join(slots, ["__key", "__k"])
     used = blocks.selectExpr("p * (mix_block div w) + __slot as mix_slot", f"least(n - mix_block * {block_docs}, {block_docs}) as c")
     counted = used.withColumn("__none", F.lit(0))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import Scratch, read_table
 from codeloom.llm.op04_language_id import UNKNOWN, language, learn
-from codeloom.llm.op05_mixing import placed
+from codeloom.llm.op05_mixing import documents_before, placed, source_table
 from codeloom.llm.op08_bpe import encode_documents, vocabulary_path
 from codeloom.llm.op09_jaccard_join import jaccard_components
 
@@ -46,12 +46,20 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: rows within files, and files by name."""
-    mixed = placed(docs)
-    rows = docs.count()
+    """All documents, in the order of the mix: rows within files, and files by name. Every row stays,
+    repeated ones and those without source too; an empty table gives an empty one."""
+    table = source_table(docs)
+    mixed = placed(docs, positions=False, table=table)
+    # Slots are in files by ranges of about as many documents, however early some sources run out.
+    before = documents_before(table)
+    rows = before[-1][1] if before else 0
     each = max(PART_DOCS, -(-rows // MAX_PARTS))
-    part = F.expr(f"cast(mix_position div {each} as int)")
-    dealt = mixed.repartitionById(max(1, -(-rows // each)), part).sortWithinPartitions("mix_position")
+    files = max(1, -(-rows // each))
+    about = F.lit(float(rows))
+    for (t0, d0), (t1, d1) in reversed(list(zip(before, before[1:], strict=False))):
+        about = F.when(F.col("mix_slot") < t1, d0 + (F.col("mix_slot") - t0) * ((d1 - d0) / (t1 - t0))).otherwise(about)
+    part = F.least(F.floor(about / each), F.lit(files - 1)).cast("int")
+    dealt = mixed.repartitionById(files, part).sortWithinPartitions("mix_slot", "mix_within")
     return dealt.select("__row.*")
 
 

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("codeloom.llm")
 from codeloom.llm import op01_token_files as op1  # noqa: E402
@@ -140,6 +141,20 @@ def test_mixing(spark):
     assert op5.mix(frame.limit(0)).count() == 0
 
 
+def test_mixing_scales(spark):
+    """A source of a million rows, 2,000 sources, and clashing names."""
+    rows = spark.range(1_000_000).selectExpr("id as doc_id", "'one' as source").unionByName(spark.range(1_000_000, 1_000_050).selectExpr("id as doc_id", "'two' as source"))
+    got = op5.mix(rows, {"one": 0.5, "two": 0.5})
+    assert got.agg(F.count_distinct("mix_position"), F.max("mix_position"), F.min("mix_position")).first() == (1_000_050, 1_000_049, 0)
+    assert got.where("source = 'two' and mix_slot > 8").count() == 0
+    many = spark.range(8_000).selectExpr("id as doc_id", "'s' || id % 2000 as source", "id as mix_slot", "id as mix_slot_of_input")
+    got = op5.mix(many)
+    assert got.agg(F.count_distinct("mix_position"), F.sum("mix_slot_of_input"), F.count_distinct("mix_slot")).first() == (8_000, sum(range(8_000)), 2_000)
+    assert "mix_slot_of_input_" in got.columns
+    before = op5.documents_before(op5.source_table(rows, {"one": 0.5, "two": 0.5}))
+    assert before[-1][1] == 1_000_050 and [d for _, d in before] == sorted(d for _, d in before)
+
+
 def test_url_filter(spark):
     urls = [None, "", "no-scheme", "HTTP://A.ORG/x", "https://example.org", "http://x.example.org/es/1?q#f", "http://notexample.org/en/1", "http://example.org/en/12", "http://b.com/de/1", "http://b.com/fr/1", "http://ü.net/\n" + "y" * 9000]
     urls += [f"http://good{i}.org/page/{i}" for i in range(60)] + [f"http://bad{i}.com/de/x{i}" for i in range(60)]
