@@ -1,15 +1,18 @@
-"""License notices found by MinHash bands over overlapping windows, in DataFrame operations only.
-
-Texts are cut into windows of ``WINDOW`` words every ``STRIDE`` words, so any template of up to
-``WINDOW - STRIDE + 1`` words is whole in some window. A window of three-word shingles meets a
-template if one of ``BANDS`` bands of one MinHash each agrees. The least similarity of a template of
-three shingles wholly in a full window is 3/22, so at least one band agrees with
-probability 1 - (1 - 3/22)^96 > 0.999999. The exact share of the template's shingles in
-the window then decides.
-
-License texts and headers of any length have windows of their own, twice as long as the longest
-text of their size class (the longest is at most twice the shortest) and half of it apart, so that a span of one and a
-half times the longest is whole in some window. The least similarity of a text wholly in a window is then about 1/4.
+"""License notices and texts found by MinHash bands over overlapping windows, in DataFrame operations only.
+
+Templates are in shelves by length. A shelf whose longest template has L words cuts texts into windows
+of 2 L words (``WINDOW`` for notices) every L / 2 words, so that any span of up to one and a half
+times its longest template (of ``WINDOW - STRIDE`` words and one more, for notices) is whole in some window. A
+window and a template meet if one of ``BANDS`` bands of one MinHash each agrees, with
+probability s for a Jaccard similarity s of their three-word shingles. A notice of three shingles wholly in a window has at
+least s = 3/22, and a text wholly in a window of its shelf at least about 1/4, where the shelf's shortest text
+has half the words of its longest; so a pair that has to be found is missed with a probability of at most
+(1 - 3/22)^96 < 10^-6. Sharing the template's shingles only in part, as an edited copy does, costs little:
+at a similarity of 0.1 it is 4 * 10^-5. The exact share of the template's shingles in the window then decides.
+
+Band k of a template agrees with a window if the template's least shingle under hash k is in the window and is the
+window's least, too. So the bands are looked up from the templates' side: only windows that hold a least
+shingle of some band have a signature to compute, as no band of any other window can agree.
 """
 
 from __future__ import annotations
@@ -112,50 +115,70 @@ def shelves(templates: dict[str, str], texts: dict[str, str]) -> list[tuple[int,
     return found
 
 
+def grams(text: str) -> list[tuple[str, ...]]:
+    words = words_of(text)
+    return list(dict.fromkeys(zip(*[words[k:] for k in range(SHINGLE)], strict=False)))
+
+
+def split_by_length(templates: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+    """Notices, and longer templates."""
+    notices = {k: t for k, t in templates.items() if len(words_of(t)) <= WINDOW - STRIDE + 1}
+    return notices, {k: t for k, t in templates.items() if k not in notices}
+
+
+def shelf_table(spark: SparkSession, kinds: list[tuple[int, int, dict[str, str]]]) -> DataFrame:
+    """A row for each shelf, license and band: its ``least`` hash, the shingle that has it (``shingle``),
+    and all of the license's shingles (``wanted``). As many rows as templates have bands."""
+    rows = [(i, k, [list(g) for g in grams(t)]) for i, (_, _, own) in enumerate(kinds) for k, t in own.items()]
+    table = spark.createDataFrame(rows, "shelf int, license string, grams array<array<string>>")
+    wanted = F.transform("grams", lambda g: F.xxhash64(*[F.get(g, k) for k in range(SHINGLE)]))
+    table = table.select("shelf", "license", wanted.alias("wanted"))
+    least = lambda k: F.array_min(F.transform("wanted", lambda h: F.struct(F.xxhash64(h, k).alias("least"), h.alias("shingle"))))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), least(k).alias("m")))
+    return table.select("shelf", "license", "wanted", F.explode(bands).alias("s")).select("shelf", "license", "wanted", "s.band", "s.m.least", "s.m.shingle")
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, texts: dict[str, str] | None = None) -> DataFrame:
     """One row per ``doc_id`` and license found: ``windows`` that have it, ``containment``, the
     highest share of its shingles in one window, and ``first_word``, the first such
     window's first word, from 0.
 
-    ``templates`` are notices of 3 to 13 words, ``texts`` are of 3 words or more, in windows
-    that fit their length; both without names in common. ``TEMPLATES`` and ``TEXTS`` if neither is given.
-    Null and empty texts, and texts under three words, have none. Rows with the same doc_id are taken together.
-    Other columns are not read.
+    ``templates`` and ``texts`` are of three words or more and of any length, without names in common;
+    each is in the windows of its length. ``TEMPLATES`` and ``TEXTS`` if neither is given.
+    Null and empty texts, and texts under three words, have none, and an empty table gives an empty one; texts of any
+    length are scanned whole. Rows with the same doc_id, null among them, are taken together, and repeated
+    rows count their windows once. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     if texts is None:
         texts = TEXTS if templates is None else {}
     templates = TEMPLATES if templates is None else templates
-    longest = WINDOW - STRIDE + 1
-    for name, text in templates.items():
-        if not SHINGLE <= len(words_of(text)) <= longest:
-            raise ValueError(f"template {name} must have {SHINGLE} to {longest} words; longer ones are texts")
-    for name, text in texts.items():
-        if len(words_of(text)) < SHINGLE or name in templates:
-            raise ValueError(f"text {name} must have {SHINGLE} words and a name of its own")
-    kinds = shelves(templates, texts)
-    parts = [{name: list(dict.fromkeys(zip(*[words_of(t)[k:] for k in range(SHINGLE)], strict=False))) for name, t in own.items()} for _, _, own in kinds]
-    # A window without a shingle of any template of its shelf agrees in no band and is left out at once.
-    hashed = lambda those: F.array(*[F.xxhash64(*map(F.lit, p)) for p in dict.fromkeys(those)])
-    every = [hashed(p for one in own.values() for p in one) for own in parts]
-    wanted = [F.struct(F.lit(i).alias("shelf"), F.lit(k).alias("license"), hashed(one).alias("wanted")) for i, own in enumerate(parts) for k, one in own.items()]
-    shelf = spark.range(1).select(F.explode(F.array(*wanted)).alias("x")).select("x.*")
-    shelf = shelf.select("shelf", "license", "wanted", F.explode(signature(F.col("wanted"))).alias("s")).select("shelf", "license", "wanted", "s.*")
+    for name, text in [*templates.items(), *texts.items()]:
+        if len(words_of(text)) < SHINGLE:
+            raise ValueError(f"{name} must have {SHINGLE} words")
+    if set(templates) & set(texts):
+        raise ValueError("a name is both a template and a text")
+    notices, longer = split_by_length(templates | texts)
+    kinds = shelves(notices, longer)
+    shelf = shelf_table(spark, kinds)
+    # The least shingles of all bands, by shelf: a fixed list, as the templates are.
+    found = {r["shelf"]: r["all"] for r in shelf.groupBy("shelf").agg(F.sort_array(F.collect_set("shingle")).alias("all")).collect()}
+    least = [F.array(*map(F.lit, found[i])) for i in range(len(kinds))]
 
     # Window starts: one more for as long as words lie beyond the last.
     def starts(i: int) -> Column:
         window, stride, _ = kinds[i]
         last = F.greatest(F.lit(0), F.size("all") + (SHINGLE - 1) - window + stride - 1)
         own = F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda s: F.struct(F.lit(i).alias("shelf"), F.lit(window).alias("window"), s.alias("start")))
-        return F.when(F.arrays_overlap("all", every[i]), own).otherwise(F.slice(own, 1, 0))
+        return F.when(F.arrays_overlap("all", least[i]), own).otherwise(F.slice(own, 1, 0))
 
     rows = docs.select("doc_id", shingle_hashes(F.col("text")).alias("all")).where("all is not null")
     rows = rows.select("doc_id", "all", F.explode(F.concat(*[starts(i) for i in range(len(kinds))])).alias("at"))
     rows = rows.select("doc_id", "at.shelf", "at.start", F.slice("all", F.col("at.start") + 1, F.col("at.window") - SHINGLE + 1).alias("own"))
-    overlaps = F.lit(False)
-    for i, own in enumerate(every):
-        overlaps = F.when(F.col("shelf") == i, F.arrays_overlap("own", own)).otherwise(overlaps)
-    rows = rows.where(overlaps)
+    holds = F.lit(False)
+    for i, own in enumerate(least):
+        holds = F.when(F.col("shelf") == i, F.arrays_overlap("own", own)).otherwise(holds)
+    rows = rows.where(holds)
     bands = rows.select("doc_id", "shelf", "start", "own", F.explode(signature(F.col("own"))).alias("s")).select("doc_id", "shelf", "start", "own", "s.*")
     # The shelf has BANDS rows a template: a fixed list.
     met = bands.join(F.broadcast(shelf), ["shelf", "band", "least"])
@@ -170,18 +193,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """SQL of the notices; no document of the test tables has one of ``TEXTS``."""
-    values = ", ".join("('{}', '{}')".format(k, " ".join(words_of(t))) for k, t in TEMPLATES.items())
+    """SQL of all templates: each in the windows of its shelf, by exact shares."""
+    notices, longer = split_by_length(TEMPLATES | TEXTS)
+    rows = [(k, " ".join(words_of(t)), window, stride) for window, stride, own in shelves(notices, longer) for k, t in own.items()]
+    values = ", ".join(f"('{k}', '{words}', {window}, {stride})" for k, words, window, stride in rows)
+    three = "list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])"
     return f"""
-WITH t(license, words) AS (VALUES {values}),
-ts AS (SELECT license, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) AS wanted
-       FROM (SELECT license, string_split(words, ' ') AS w FROM t)),
+WITH t(license, words, win, stride) AS (VALUES {values}),
+ts AS MATERIALIZED (SELECT license, win, stride, list_distinct({three}) AS wanted FROM (SELECT license, win, stride, string_split(words, ' ') AS w FROM t)),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]) AS s FROM d WHERE len(w) >= 3),
-c AS (SELECT doc_id, s FROM s WHERE list_has_any(s, (SELECT flatten(list(wanted)) FROM ts))),
-win AS (SELECT doc_id, st AS start, s[st + 1 : st + {WINDOW - SHINGLE + 1}] AS own
-        FROM (SELECT doc_id, s, unnest(range(0, greatest(0, len(s) + {SHINGLE - 1 - WINDOW + STRIDE - 1}) + 1, {STRIDE})) AS st FROM c)),
-hit AS (SELECT doc_id, start, license, CAST(len(list_intersect(own, wanted)) AS DOUBLE) / len(wanted) AS share FROM win, ts)
+s AS MATERIALIZED (SELECT doc_id, {three} AS s FROM d WHERE len(w) >= 3),
+c AS MATERIALIZED (SELECT doc_id, s, license, win, stride, wanted FROM s JOIN ts ON len(list_intersect(s, wanted)) >= {CONTAINMENT} * len(wanted)),
+win AS (SELECT doc_id, license, wanted, st AS start, s[st + 1 : st + win - {SHINGLE - 1}] AS own
+        FROM (SELECT *, unnest(range(0, greatest(0, len(s) + {SHINGLE - 1} - win + stride - 1) + 1, stride)) AS st FROM c)),
+hit AS (SELECT doc_id, start, license, CAST(len(list_intersect(own, wanted)) AS DOUBLE) / len(wanted) AS share FROM win)
 SELECT doc_id, license, count(*) AS windows, max(share) AS containment, CAST(min(start) AS BIGINT) AS first_word
 FROM hit WHERE share >= {CONTAINMENT} GROUP BY doc_id, license
 """
