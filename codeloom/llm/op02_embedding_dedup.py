@@ -2,10 +2,12 @@
 
 Each tree splits the unit vectors of a label again and again at the median of a random
 projection; vectors near the cut go to both sides. Vectors are compared within leaves
-only. Splits are fitted on a bounded sample, every vector is routed through every tree, and
-a leaf that comes out too large is compared in pairs of blocks, each in a task of its own. A
+only. Splits are fitted on a bounded sample and every vector is routed through every tree; leaves
+that come out too large, as they do where the sample is a small share of all, are split on by
+their own vectors, so that leaves don't grow with the input. What can't be split, a
+dense group, is compared in pairs of blocks, each in a task of its own. A
 pair that meets in several leaves counts in the first only, so leaves send counts and the edges
-of spanning trees, never their pairs.
+of spanning trees, never their pairs. There are as many trees as the depth needs for the recall.
 """
 
 from __future__ import annotations
@@ -18,18 +20,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, components, cut, read_table
+from codeloom.llm.common import Scratch, components, cut, read_table, tidy
 
 COSINE = 0.93
-TREES = 10
+#: A pair of just that cosine may share no leaf with this probability, ...
+MISS = 2e-4
+#: ... where it stays together in a split with this one, at ``SPILL`` (measured: the test of recall).
+TOGETHER = 0.93
+MOST_TREES = 64
 LEAF = 256
 MOST_IN_TASK = 1024
+#: A leaf of up to so many vectors is split on in one task; a larger one is compared in blocks.
+MOST_TO_SPLIT = 200_000
 BLOCK = 512
 MAX_DEPTH = 40
 #: About how many vectors the splits are fitted on, at most.
 SAMPLE = 20_000
 #: Half width of the spill, as a share of the standard projection of the largest linked distance.
-SPILL = 0.6
+SPILL = 0.3
 SEED = 20_240_501
 
 
@@ -57,6 +65,12 @@ def margin(cosine: float, dim: int) -> float:
     return SPILL * math.sqrt(2 - 2 * cosine) / math.sqrt(dim)
 
 
+def trees_for(vectors: float) -> int:
+    """How many trees miss a pair with a probability of ``MISS`` at most, for a label of so many vectors."""
+    depth = max(1, math.ceil(math.log2(max(2.0, 2 * vectors / LEAF))))
+    return min(MOST_TREES, max(4, math.ceil(math.log(MISS) / math.log(1 - TOGETHER**depth))))
+
+
 def fit(unit: np.ndarray, tree: int, weight: float, spill: float) -> Tree:
     """Splits until a node stands for at most ``LEAF`` vectors (``weight`` for each sampled one),
     has too few sampled ones, or the spill keeps nine tenths of it on one side."""
@@ -121,7 +135,7 @@ def sampled_forest(distinct: DataFrame, cosine: float) -> dict[tuple[str, int],
     """Trees by label and size, from about ``SAMPLE`` vectors chosen by a hash of their ids."""
     n = distinct.count()
     share = min(1.0, SAMPLE / max(n, 1))
-    sample = distinct.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = distinct.where(F.pmod(F.xxhash64("vec_id", "k1"), F.lit(1_000_000)) < int(share * 1_000_000))
     by: dict[tuple[str, int], list[tuple[int, bytes]]] = {}
     for r in sample.select("label", "dim", "vec_id", "v").collect():
         by.setdefault((r["label"], r["dim"]), []).append((r["vec_id"], bytes(r["v"])))
@@ -129,10 +143,22 @@ def sampled_forest(distinct: DataFrame, cosine: float) -> dict[tuple[str, int],
     for k, rows in sorted(by.items()):
         if len(rows) / share > LEAF:
             unit = unit_vectors(pd.Series([v for _, v in sorted(rows)]))
-            out[k] = [fit(unit, t, 1 / share, margin(cosine, k[1])) for t in range(TREES)]
+            out[k] = [fit(unit, t, 1 / share, margin(cosine, k[1])) for t in range(trees_for(len(rows) / share))]
     return out
 
 
+def split_on(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """The vectors of one large leaf with the leaves of a tree of their own: (``node``, ``label``, ``dim``, ``key``)."""
+    key, dim = int(part["key"].iloc[0]), int(part["dim"].iloc[0])
+    unit, spill = unit_vectors(part["v"]), margin(cosine, dim)
+    # Directions that no other leaf has.
+    number = int(np.random.default_rng((SEED, key & (1 << 63) - 1)).integers(1 << 20, 1 << 40))
+    rows, nodes = route(fit(unit, number, 1.0, spill), number, unit, spill)
+    with np.errstate(over="ignore"):
+        keys = (np.uint64(key & (1 << 64) - 1) * np.uint64(0x9E3779B97F4A7C15) + nodes.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+    return part[["node", "label", "dim"]].iloc[rows].assign(key=keys)
+
+
 def compare(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Of one leaf, or two blocks of it: for each vector the links that count here, and the
     smallest vector it is connected to."""
@@ -144,13 +170,13 @@ def compare(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
     if cross:
         chunk = part["chunk"].to_numpy()
         near &= chunk[:, None] != chunk[None, :]
-    ids, times = part["vec_id"].to_numpy(), part["times"].to_numpy()
+    ids, times = part["node"].to_numpy(), part["times"].to_numpy()
     if not near.any():
-        return pd.DataFrame({"vec_id": ids[:0], "links": times[:0], "to": ids[:0]})
+        return pd.DataFrame({"node": ids[:0], "links": times[:0], "to": ids[:0]})
     own = np.flatnonzero(near.any(axis=1))
     near, ids, times = near[np.ix_(own, own)], ids[own], times[own]
     first = near
-    before = [(i, k) for i, b in enumerate(part["leaves"].iloc[own]) for k in np.frombuffer(b, dtype="<i8") if k < key]
+    before = [(i, k) for i, b in enumerate(part["keys"].iloc[own]) for k in b.tolist() if k < key]
     if before:
         columns = {k: c for c, k in enumerate(sorted({k for _, k in before}))}
         met = np.zeros((len(own), len(columns)), dtype=np.float32)
@@ -163,7 +189,7 @@ def compare(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
         if np.array_equal(least, to):
             break
         to = least
-    return pd.DataFrame({"vec_id": ids, "links": first @ times, "to": to})
+    return pd.DataFrame({"node": ids, "links": first @ times, "to": to})
 
 
 def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -173,8 +199,9 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     Vectors link when their labels are equal and not null and their cosine is at least
     ``cosine``, of the pairs that meet in a leaf. A vector that is null, zero or has a null or
     non-finite component links with nothing, nor does one of another length. Equal vectors of
-    a label are compared as one and link with each other. vec_id is a key: each row that
-    repeats one counts. A null vec_id links with nothing and is kept as its own (null) component.
+    a label are compared as one and link with each other. Rows that share a vec_id are vectors of their own,
+    and each counts. A null vec_id links with nothing and is kept as its own (null) component.
+    An empty table gives an empty one; other columns are not read, whatever their names.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "forest")
@@ -182,8 +209,8 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     hashed = valid.select("vec_id", "label", "dim", "v", F.xxhash64("label", "v").alias("k1"), F.xxhash64("v", "label", F.lit(1)).alias("k2"))
     groups = cut(hashed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")))
     rep = groups.select(F.col("rep").alias("vec_id"), F.col("k1").alias("r1"), F.col("k2").alias("r2"), "times")
-    distinct = hashed.join(rep, "vec_id").where("k1 = r1 and k2 = r2").dropDuplicates(["vec_id", "k1", "k2"]).select("vec_id", "label", "dim", "v", "times")
-    distinct = scratch.keep(distinct, "distinct")
+    distinct = hashed.join(rep, "vec_id").where("k1 = r1 and k2 = r2").dropDuplicates(["vec_id", "k1", "k2"]).drop("r1", "r2")
+    distinct = scratch.keep(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     forest = spark.sparkContext.broadcast(sampled_forest(distinct, cosine))
 
     def to_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,26 +223,35 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                     found = [route(t, i, unit, spill) for i, t in enumerate(trees)]
                     rows = np.concatenate([r for r, _ in found])
                     keys = np.concatenate([n + (i << 32) for i, (_, n) in enumerate(found)])
-                order = np.lexsort((keys, rows))
-                rows, keys = rows[order], keys[order]
-                leaves = [k.astype("<i8").tobytes() for k in np.split(keys, np.searchsorted(rows, np.arange(1, len(part))))]
-                out = part.assign(leaves=leaves).iloc[rows]
-                yield out.assign(key=keys)[["label", "dim", "key", "vec_id", "times", "v", "leaves"]]
-
-    fields = "label string, dim int, key long, vec_id long, times long, v binary, leaves binary"
-    routed = scratch.keep(distinct.mapInPandas(to_leaves, fields), "routed")
-    large = routed.groupBy("label", "dim", "key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_IN_TASK)
-    large = cut(large.select("label", "dim", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    dealt = routed.join(large, ["label", "dim", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("blocks")).cast("int"))
+                yield part[["node", "label", "dim"]].iloc[rows].assign(key=keys)
+
+    leaf = ["label", "dim", "key"]
+    fields = "node long, label string, dim int, key long"
+    routed = scratch.keep(distinct.select("label", "dim", "node", "v").mapInPandas(tidy(to_leaves), fields), "routed")
+    sizes = lambda rows: rows.groupBy(*leaf).agg(F.count("*").alias("n")).where(F.col("n") > MOST_IN_TASK)
+    large = cut(sizes(routed))
+    again = large.where(F.col("n") <= MOST_TO_SPLIT).select(*leaf)
+    if not again.isEmpty():
+        held = routed.join(again, leaf).join(distinct.select("node", "label", "dim", "v"), ["node", "label", "dim"])
+        split = held.groupBy(*leaf).applyInPandas(lambda part: split_on(part, cosine), fields)
+        routed = scratch.keep(routed.join(again, leaf, "left_anti").select("node", *leaf).unionByName(split), "split")
+        large = cut(sizes(routed))
+    # A vector's leaves go with it, for the first that two vectors share.
+    leaves = routed.groupBy("node", "label", "dim").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    placed = leaves.join(distinct, ["node", "label", "dim"]).withColumn("key", F.explode("keys"))
+    blocks = large.select(*leaf, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = placed.join(blocks, leaf, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    found = dealt.groupBy("label", "dim", "key", "i", "j").applyInPandas(lambda part: compare(part, cosine), "vec_id long, links long, to long")
+    found = dealt.groupBy("label", "dim", "key", "i", "j").applyInPandas(lambda part: compare(part, cosine), "node long, links long, to long")
     found = scratch.keep(found, "found")
-    counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("vec_id").alias("a"), F.col("to").alias("b")))
-    named = groups.join(counts, F.col("rep") == F.col("vec_id"), "left").drop("vec_id").join(joined, F.col("rep") == F.col("id"), "left")
-    named = cut(named.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")))
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(found.select(F.col("node").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "node")
+    named = distinct.select("node", "vec_id", "k1", "k2", "times").join(counts, "node", "left").join(joined, "node", "left")
+    named = named.withColumn("component", F.coalesce("component_id", "node")).drop("component_id")
+    least = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    named = scratch.keep(named.join(least, "component").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id"), "named")
     linked = hashed.select("vec_id", "k1", "k2").join(named, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     rest = alone(vectors).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(rest)
