@@ -164,8 +164,8 @@ def test_url_filter(spark):
         ("", "", None), ("", "", None), ("", "", None), ("a.org", "/x", "org/"), ("example.org", "", None), ("x.example.org", "/es/1", "example.org/es/"),
         ("notexample.org", "/en/1", "org/"), ("example.org", "/en/12", "example.org/en/1"), ("b.com", "/de/1", "com/de/"), ("b.com", "/fr/1", "com/fr/")]
     assert {r["verdict"] for r in found.values()} <= {"allow", "block"} and found[5]["verdict"] == "block"
-    ratios = op6.log_ratios(rows.limit(0).select("page_id").selectExpr("'' as verdict", "array(1) as triples")).first()["ratios"]
-    assert len(ratios) == op6.A**3 and set(ratios) == {0.0}
+    model = op6.automaton(rows.limit(0).selectExpr("'' as verdict", "array(1) as symbols")).first()
+    assert model["next"] == [0] * op6.A and model["ratios"] == [0.0] * op6.A
 
 
 def test_fingerprints(spark):
