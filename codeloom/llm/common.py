@@ -6,6 +6,7 @@ import ctypes
 import gc
 import sys
 import tempfile
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -92,6 +93,32 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Seconds that a worker keeps what it has learned for its next task.
+IDLE_SECONDS = 4.0
+_IDLE: dict[str, threading.Timer] = {}
+
+
+def in_use(name: str) -> None:
+    """Stops the countdown of ``free_when_idle``."""
+    timer = _IDLE.pop(name, None)
+    if timer is not None:
+        timer.cancel()
+
+
+def free_when_idle(name: str, free: Callable[[], None]) -> None:
+    """Calls ``free`` in this worker unless ``in_use`` is called soon: a stage's tasks share what
+    the worker has learned, and later stages don't pay for it."""
+
+    def later() -> None:
+        free()
+        give_back()
+
+    in_use(name)
+    timer = _IDLE[name] = threading.Timer(IDLE_SECONDS, later)
+    timer.daemon = True
+    timer.start()
+
+
 class Scratch:
     """Parquet tables in the shared folder that live while an operator needs them."""
 

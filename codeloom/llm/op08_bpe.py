@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import read_table, tidy
+from codeloom.llm.common import free_when_idle, in_use, read_table
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 CACHE_WORD_CHARS = 64
 BATCH_ROWS = 256
 #: str.split also takes four control characters as white space, which the pattern doesn't.
@@ -180,6 +180,10 @@ def load(path: str) -> Bpe:
     return _LOADED[path]
 
 
+def forget() -> None:
+    _LOADED.clear()
+
+
 def encode_documents(docs: DataFrame, path: str, digest_only: bool = True, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Encode and decode every text.
 
@@ -195,24 +199,28 @@ def encode_documents(docs: DataFrame, path: str, digest_only: bool = True, keep:
         fields += ["ids array<int>", "decoded string"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        in_use(path)
         bpe = load(path)
-        for batch in batches:
-            for lo in range(0, len(batch), BATCH_ROWS):
-                part = batch.iloc[lo : lo + BATCH_ROWS]
-                n, own, back, ids_out, texts = [], [], [], [], []
-                for t in part["__text"]:
-                    ids = bpe.encode(t)
-                    decoded = bpe.decode(ids)
-                    n.append(len(ids))
-                    own.append(hashlib.sha256(bpe.digits(ids).encode()).hexdigest())
-                    back.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-                    if not digest_only:
-                        ids_out.append(ids)
-                        texts.append(decoded)
-                out = part.drop(columns="__text").assign(n_tokens=n, ids_sha256=own, decoded_sha256=back)
-                yield out if digest_only else out.assign(ids=ids_out, decoded=texts)
-
-    return source.mapInPandas(tidy(run), ", ".join(fields))
+        try:
+            for batch in batches:
+                for lo in range(0, len(batch), BATCH_ROWS):
+                    part = batch.iloc[lo : lo + BATCH_ROWS]
+                    n, own, back, ids_out, texts = [], [], [], [], []
+                    for t in part["__text"]:
+                        ids = bpe.encode(t)
+                        decoded = bpe.decode(ids)
+                        n.append(len(ids))
+                        own.append(hashlib.sha256(bpe.digits(ids).encode()).hexdigest())
+                        back.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                        if not digest_only:
+                            ids_out.append(ids)
+                            texts.append(decoded)
+                    out = part.drop(columns="__text").assign(n_tokens=n, ids_sha256=own, decoded_sha256=back)
+                    yield out if digest_only else out.assign(ids=ids_out, decoded=texts)
+        finally:
+            free_when_idle(path, forget)
+
+    return source.mapInPandas(run, ", ".join(fields))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
