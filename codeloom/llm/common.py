@@ -10,6 +10,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
@@ -122,9 +123,26 @@ def free_when_idle(name: str, free: Callable[[], None]) -> None:
 class Scratch:
     """Parquet tables in the shared folder that live while an operator needs them."""
 
+    #: Of all operators that ``temporary`` is to clear up after.
+    made: list[Scratch] | None = None
+
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/codeloom-{tag}-{uuid.uuid4().hex}"
+        if Scratch.made is not None:
+            Scratch.made.append(self)
+
+    @staticmethod
+    @contextmanager
+    def temporary() -> Iterator[None]:
+        """Drops at its end all tables of operators called within, whose results must have been read."""
+        before, Scratch.made = Scratch.made, []
+        try:
+            yield
+        finally:
+            own, Scratch.made = Scratch.made, before
+            for s in own:
+                s.drop()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -133,10 +151,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str = "") -> None:
+    def drop(self, *names: str) -> None:
+        """Deletes tables, or all of them."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for at in [self.path(n) for n in names] or [self.root]:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: So many edges at most are joined in one task; more are contracted first.

@@ -252,6 +252,7 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     named = named.withColumn("component", F.coalesce("component_id", "node")).drop("component_id")
     least = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     named = scratch.keep(named.join(least, "component").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id"), "named")
+    scratch.drop("distinct", "routed", "split", "found")
     linked = hashed.select("vec_id", "k1", "k2").join(named, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     rest = alone(vectors).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(rest)

@@ -409,6 +409,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     ids = ids.withColumn("component", F.coalesce("component_id", "node")).drop("component_id")
     least = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
     labelled = scratch.keep(ids.join(least, "component").select("k1", "k2", "component_id"), "labelled")
+    scratch.drop("nodes", "pairs", "links", *[f"{t}{k}" for k in range(turn + 1) for t in ("pairs", "links", "mixed")])
     # Only these rows can have a link, so only they meet others of the same set.
     alike = base.where("shared is not null").select("doc_id", "n", "k1", "k2").join(labelled, ["k1", "k2"], "left").select("doc_id", "n", "component_id")
     alone = base.where("shared is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import Scratch, read_table
@@ -22,27 +22,36 @@ PART_DOCS = 8192
 MAX_PARTS = 20_000
 
 
+def columns_of(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of ``docs`` from its rows in the struct ``row``, some of them changed."""
+    return [changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language is found: null, empty or letterless texts, and
-    all of them where no labelled text is there to learn from."""
-    found = language(learn(docs))
-    return docs.withColumn("__found", found).where(F.col("__found.lang") != UNKNOWN).drop("__found")
+    all of them where no labelled text is there to learn from. A document without ``lang`` gets
+    the one that is found. Repeated rows and rows without doc_id are judged each; an empty table gives
+    an empty one; columns may have any names."""
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), language(learn(docs)).alias("found"))
+    return found.where(F.col("found.lang") != UNKNOWN).select(*columns_of(docs, lang=F.coalesce("row.lang", "found.lang")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of documents connected by a Jaccard similarity of 0.8 or more on five-word
     shingles, the one with the smallest doc_id, and all that link with none. Rows that share
     a doc_id are one document only where their texts are equal, and then one row stays; rows without
-    doc_id stay. Documents are told apart by a 64-bit hash of both."""
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)), F.col("text").isNull()))
-    known = keyed.where("doc_id is not null")
-    found = jaccard_components(known.select(F.col("__key").alias("doc_id"), "text"), width=5, num=80, den=100)
-    found = found.select(F.col("doc_id").alias("__key"), "component_id").distinct()
-    ids = known.select("__key", F.col("doc_id").alias("__id")).distinct()
+    doc_id stay. Documents are told apart by a 64-bit hash of both. An empty table gives an empty one;
+    columns may have any names."""
+    key = F.xxhash64("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)), F.col("text").isNull())
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    known = keyed.where("row.doc_id is not null")
+    found = jaccard_components(known.select(F.col("key").alias("doc_id"), "row.text"), width=5, num=80, den=100)
+    found = found.select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = known.select("key", F.col("row.doc_id").alias("id")).distinct()
     # A large group's minimum is found by partial aggregation.
-    kept = found.join(ids, "__key").groupBy("component_id").agg(F.min(F.struct("__id", "__key"))["__key"].alias("__kept"))
-    one = known.join(kept, known["__key"] == kept["__kept"]).dropDuplicates(["__key"])
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    kept = found.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "key"))["key"].alias("kept"))
+    one = known.join(kept, F.col("key") == F.col("kept")).dropDuplicates(["key"])
+    return one.select(*columns_of(docs)).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +73,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with their number and digests and the decoded text's digest."""
+    """Token ids of each text, with their number and digests and the decoded text's digest. A null or empty
+    text has none; repeated rows and rows without doc_id have a row each; an empty table gives an empty
+    one; other columns than ``doc_id``, ``lang`` and ``source`` are not read."""
     found = encode_documents(docs, vocabulary_path(), digest_only=False, keep=("doc_id", "lang", "source"))
     return found.drop("decoded")
 
@@ -80,9 +91,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to ``documents``; the tables between them stay in the shared folder."""
+    """Applies all stages to ``documents``. Of the tables between them, in the shared folder, only the one
+    stays that the last stage reads."""
     scratch = Scratch(spark, "pipeline")
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with Scratch.temporary():
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
