@@ -269,3 +269,18 @@ def alone(vectors: DataFrame) -> DataFrame:
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(read_table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of a label: exact, as the forest is where no label has more vectors than a leaf.
+ORACLES = {
+    "op2_embedding_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS MATERIALIZED (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.e, y.e) >= {COSINE}),
+reach(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.id),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY 1),
+least AS (SELECT id, min(c) AS c FROM reach GROUP BY 1)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least.c AS component_id, least.c = v.vec_id AS kept FROM v JOIN least ON least.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+}
