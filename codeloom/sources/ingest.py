@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import is_excluded, is_source
 from codeloom.schema import RELATIONSHIP, SYMBOL
+from codeloom.sources.files import SmallFiles
 
 
 def analyzer_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -17,10 +18,17 @@ def analyzer_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     kind = F.get_json_object("value", "$.type")
     out = []
     for name, schema in (("symbol", SYMBOL), ("relationship", RELATIONSHIP)):
-        out.append(lines.where(kind == name).select(F.from_json("value", schema).alias("r")).select("r.*"))
+        rows = lines.where(kind == name).select(F.from_json("value", schema).alias("r")).select("r.*")
+        out.append(rows.where("id is not null"))
     return out[0], out[1]
 
 
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that ``analyzer_rows`` leaves out: no JSON, another type, or without id. Blank lines are none."""
+    good = F.get_json_object("value", "$.type").isin("symbol", "relationship") & F.get_json_object("value", "$.id").isNotNull()
+    return spark.read.text(path).where((F.trim("value") != "") & ~F.coalesce(good, F.lit(False)))
+
+
 def compile_commands(spark: SparkSession, path: str) -> DataFrame:
     """``file``, ``directory`` and ``command`` of a compile database; a file's last entry wins."""
     rows = spark.read.schema("directory string, command string, file string, arguments array<string>").json(path, multiLine=True)
@@ -40,26 +48,23 @@ def source_files(spark: SparkSession, root: str, excluded: list[str] | None = No
 
 
 class Catalog:
-    """Repository definitions by id, as a small JSON file. A damaged file counts as empty."""
-
-    def __init__(self, path: str):
-        from pathlib import Path
+    """Repository definitions by id, as a small JSON file on any file system that Spark has. A damaged file counts as empty."""
 
-        self.path = Path(path)
+    def __init__(self, path: str, spark: SparkSession | None = None):
+        folder, _, self.name = path.rpartition("/")
+        self.files = SmallFiles(spark or SparkSession.getActiveSession(), folder if "://" in folder else f"file://{folder}")
 
     def load(self) -> dict[str, dict]:
         try:
-            rows = json.loads(self.path.read_text(encoding="utf-8"))
+            rows = json.loads(self.files.read(self.name) or "")
             return {r["id"]: r for r in rows}
-        except (OSError, ValueError, TypeError, KeyError):
+        except (ValueError, TypeError, KeyError):
             return {}
 
     def save(self, entries: dict[str, dict]) -> None:
         rows = sorted(entries.values(), key=lambda r: r["id"].lower())
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        temporary = self.path.with_suffix(".tmp")
-        temporary.write_text(json.dumps(rows, indent=1), encoding="utf-8")
-        temporary.replace(self.path)
+        self.files.fs.mkdirs(self.files.at(""))
+        self.files.write(self.name, json.dumps(rows, indent=1))
 
     def merge(self, entry: dict) -> dict:
         """Adds or changes an entry; fields that are left out or None keep their values."""

@@ -47,6 +47,9 @@ def _facts(name: str) -> Callable[[SparkSession, dict], Rows]:
         found = (definition.get("facts") or {}).get(name)
         if not found:
             raise ValueError(f"{name} has no facts to read")
+        bad = ingest.malformed_lines(spark, found).limit(1).collect()
+        if bad:
+            raise ValueError(f"{name} has malformed facts: {bad[0]['value'][:80]}")
         return ingest.analyzer_rows(spark, found)
 
     return read

@@ -26,6 +26,7 @@ from codeloom.functions.text import contains, normalize_path
 from codeloom.operators.edges import resolved
 from codeloom.operators.store_checks import identity_violations, parity, row_violations
 from codeloom.schema import MAX_DIAGNOSTICS, RELATIONSHIP, SYMBOL
+from codeloom.sources.files import SmallFiles
 from codeloom.sources.pack import Pack
 from codeloom.sources.shared import cut
 
@@ -93,54 +94,9 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, repository_id: str, fault: Callable[[str], None] | None = None):
         self.spark, self.root, self.repository_id = spark, root.rstrip("/"), repository_id
         self.fault = fault or (lambda point: None)
-        self._jvm = spark.sparkContext._jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._path = lambda p: self._jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._path(self.root).getFileSystem(self._conf)
-
-    # Small files, by the file system that Spark has for the root.
-    def _read(self, name: str) -> str | None:
-        p = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(p):
-            return None
-        stream = self._fs.open(p)
-        try:
-            return bytes(stream.readAllBytes()).decode("utf-8")
-        except Exception:
-            return None
-        finally:
-            stream.close()
-
-    def _write(self, name: str, text: str) -> None:
-        """Replaces a file in one step."""
-        temporary = self._path(f"{self.root}/.{uuid.uuid4().hex}")
-        stream = self._fs.create(temporary, True)
-        stream.write(bytearray(text.encode("utf-8")))
-        stream.close()
-        how = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
-        options = self.spark.sparkContext._gateway.new_array(how, 1)
-        options[0] = how.OVERWRITE
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
-        context.rename(self._fs.makeQualified(temporary), self._fs.makeQualified(self._path(f"{self.root}/{name}")), options)
-
-    def _create(self, name: str, text: str) -> bool:
-        """Writes a file unless there is one; False if so."""
-        p = self._path(f"{self.root}/{name}")
-        self._fs.mkdirs(self._path(self.root))
-        try:
-            if self._fs.getUri().getScheme() == "file":
-                # Hadoop's local file system looks first and creates then.
-                self._jvm.java.nio.file.Files.createFile(self._jvm.java.io.File(p.toUri().getPath()).toPath(), self.spark.sparkContext._gateway.new_array(self._jvm.java.nio.file.attribute.FileAttribute, 0))
-                stream = self._fs.create(p, True)
-            else:
-                stream = self._fs.create(p, False)
-        except Exception:
-            if self._fs.exists(p):
-                return False
-            raise
-        stream.write(bytearray(text.encode("utf-8")))
-        stream.close()
-        return True
+        self._files_at = SmallFiles(spark, self.root)
+        self._fs, self._path = self._files_at.fs, self._files_at.path
+        self._read, self._write, self._create = self._files_at.read, self._files_at.write, self._files_at.create
 
     @contextmanager
     def _lease(self, sequence: int, expected: int) -> Iterator[Callable[[], None]]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text
 from codeloom.functions.ids import canonical_hash, declaration_id, logical_identity, physical_identity
+from codeloom.operators.project import diagnostics_split
 from codeloom.operators.search import document_length, query_tokens, term_frequencies
 from codeloom.operators.source import contained, window
 from codeloom.plans.tools import Tools
@@ -46,6 +47,9 @@ def test_ingest(spark, tmp_path):
     (tmp_path / "x.ndjson").write_text("\n".join(map(json.dumps, lines)))
     s, r = ingest.analyzer_rows(spark, str(tmp_path / "x.ndjson"))
     assert [x["name"] for x in s.collect()] == ["A"] and [x["source_id"] for x in r.collect()] == ["a"]
+    (tmp_path / "y.ndjson").write_text("{broken\n\n" + json.dumps({"type": "other", "id": "x"}) + "\n" + json.dumps({"type": "symbol"}) + "\n" + json.dumps(lines[0]))
+    assert ingest.malformed_lines(spark, str(tmp_path / "y.ndjson")).count() == 3 and ingest.malformed_lines(spark, str(tmp_path / "x.ndjson")).count() == 0
+    assert ingest.analyzer_rows(spark, str(tmp_path / "y.ndjson"))[0].count() == 1
     (tmp_path / "cc.json").write_text(json.dumps([{"file": "a.c", "directory": "/", "command": "one"}, {"file": "a.c", "directory": "/", "arguments": ["cc", "a.c"]}]))
     assert [tuple(x) for x in ingest.compile_commands(spark, str(tmp_path / "cc.json")).collect()] == [("a.c", "/", "cc a.c")]
     (tmp_path / "p" / "node_modules").mkdir(parents=True)
@@ -54,8 +58,8 @@ def test_ingest(spark, tmp_path):
     assert [x["path"] for x in ingest.source_files(spark, str(tmp_path / "p")).collect()] == ["a.ts"]
 
 
-def test_catalog(tmp_path):
-    c = ingest.Catalog(str(tmp_path / "c.json"))
+def test_catalog(spark, tmp_path):
+    c = ingest.Catalog(f"file://{tmp_path}/c.json", spark)
     c.merge({"id": "b", "root_path": "/b"})
     c.merge({"id": "A", "root_path": "/a"})
     assert [r["id"] for r in json.loads((tmp_path / "c.json").read_text())] == ["A", "b"]
@@ -63,7 +67,25 @@ def test_catalog(tmp_path):
     c.exclude("b", "Gen")
     assert c.exclude("b", "gen")["excluded_paths"] == ["Gen"]
     (tmp_path / "c.json").write_text("{broken")
-    assert c.load() == {}
+    assert c.load() == {} and ingest.Catalog(str(tmp_path / "sub" / "none.json")).load() == {}
+
+
+def test_textual_hint_and_orders(spark, tmp_path):
+    s = symbols(spark, ("a", "Alpha", "a.cs"), ("t", "betaOnlyInText", "b.cs", "textual-evidence"))
+    t = Tools(spark, ingest.Catalog(str(tmp_path / "c.json")), f"file://{tmp_path}/data", None, lambda entry: (s.withColumn("repository_id", F.lit(entry["id"])), edges(spark)))
+    for name in ("beta", "Alpha", "gamma"):
+        t.open_repository(str(tmp_path), name)
+    assert [r["repository_id"] for r in t.list_repositories()] == ["Alpha", "beta", "gamma"]
+    assert t.list_modules() == sorted(t.list_modules())
+    assert t.search_symbols("beta", "betaonly") == {"items": [], "truncated": False, "hint": "only textual evidence matches; set include_textual"}
+    assert "hint" not in t.search_symbols("beta", "nothing") and t.search_symbols("beta", "betaonly", include_textual=True)["items"][0]["id"] == "t"
+    t.remove_repository("gamma", delete_data=True)
+    assert "gamma" not in t.catalog.load() and t.call("repository_status", {"repository_id": "gamma"})["isError"]
+
+
+def test_diagnostics_split():
+    lines = ["ts-semantic (full): 3 files", "warning", "tsconfig: a.json", "ts-semantic (incremental): 1", "ts-semantic: x"]
+    assert diagnostics_split(lines) == ([lines[0], lines[2], lines[3]], [lines[1], lines[4]])
 
 
 def test_windows_and_paths(tmp_path):
