@@ -22,15 +22,17 @@ def window(total: int, start: int = 1, end: int = 0, clamp: bool = True, most: i
 
 
 def get_source(lines: DataFrame, path: str, start: int = 1, end: int = 0, clamp: bool = True, most: int = MOST_LINES) -> DataFrame:
-    """One row: ``file_path``, ``start_line``, ``end_line``, ``total_lines``, ``content``, ``truncated``."""
-    own = lines.where(F.col("file_path") == path)
-    total = own.count()
-    first, last, truncated = window(total, start, end, clamp, most)
-    rows = own.where(F.col("line_no").between(first, last))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return rows.agg(text.alias("content")).select(
-        F.lit(path).alias("file_path"), F.lit(first).alias("start_line"), F.lit(last).alias("end_line"), F.lit(total).alias("total_lines"), "content", F.lit(truncated).alias("truncated")
-    )
+    """One row: ``file_path``, ``start_line``, ``end_line``, ``total_lines``, ``content``, ``truncated``. One
+    pass over the file counts its lines and brings back the ``most`` that may be shown."""
+    low = max(start, 1)
+    shown = F.when(F.col("line_no").between(low, low + most - 1), F.struct("line_no", "line"))
+    own = lines.where(F.col("file_path") == path).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(shown)).alias("shown"), F.max_by("line", "line_no").alias("last")).first()
+    first, last, truncated = window(own["n"], start, end, clamp, most)
+    found = [r["line"] or "" for r in own["shown"] if first <= r["line_no"] <= last]
+    if first < low and own["n"]:
+        found = [own["last"] or ""]
+    row = (path, first, last, own["n"], "\n".join(found), truncated)
+    return lines.sparkSession.createDataFrame([row], "file_path string, start_line int, end_line int, total_lines int, content string, truncated boolean")
 
 
 def contained(root: str, path: str) -> Path:

@@ -150,8 +150,10 @@ QUERIES = {
 
 def _path(spark, d: str) -> str:
     """The document with the most lines, the first by path of equals."""
-    lines = views.source_lines(spark, d).groupBy("file_path").agg(F.max("line_no").alias("n"))
-    return lines.orderBy(F.desc("n"), "file_path").first()["file_path"]
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/doc"), "doc_id", F.lit(".txt"))
+    most = docs.select(path.alias("file_path"), F.regexp_count("text", F.lit("\r\n|\n|\r")).alias("n")).where("file_path is not null")
+    return most.orderBy(F.desc("n"), "file_path").first()["file_path"]
 
 
 _LINES = """lines AS (SELECT file_path, CAST(unnest(range(1, len(l) + 1)) AS INT) AS line_no, unnest(l) AS line FROM
