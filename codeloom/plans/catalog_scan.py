@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import ids, text
@@ -115,7 +115,7 @@ QUERIES = {
     "symbol_incoming": _pack(lambda k: e.page(k.table("incoming"), HUB, False, 40).select(*EDGE.split(", "), "rn", "has_more")),
     "token_budget_projection": _sym(lambda s: p.within_budget(s, [F.col("id")], p.ORIENTATION, 100, 2000).select("id", "tokens", "rn", "total")),
     "estimated_tokens": _sym(lambda s: p.project(s).select("id", p.tokens_of(p.ORIENTATION).alias("tokens"))),
-    "dedupe_first": _sym(lambda s: s.withColumn("rn", F.row_number().over(Window.partitionBy("name").orderBy("module_id", "id"))).where("rn = 1").select("name", "id")),
+    "dedupe_first": _sym(lambda s: sc.dedupe_first(s, "name", ["module_id", "id"]).select("name", "id")),
     "resolve_by_name": _both(lambda s, r: sc.resolve_by_name(s, r)),
     "enclosing_declaration": _both(lambda s, r: sc.enclosing(s.where("kind not in ('textual-evidence', 'module')"), r)),
     "enclosing_symbol": _both(lambda s, r: sc.enclosing(s.where("kind not in ('textual-evidence', 'module')"), r, s.where("kind = 'module'"))),
