@@ -29,10 +29,10 @@ MISS = 2e-4
 TOGETHER = 0.93
 MOST_TREES = 64
 LEAF = 256
-MOST_IN_TASK = 1024
+MOST_IN_TASK = 2048
 #: A leaf of up to so many vectors is split on in one task; a larger one is compared in blocks.
 MOST_TO_SPLIT = 200_000
-BLOCK = 512
+BLOCK = 1024
 MAX_DEPTH = 40
 #: About how many vectors the splits are fitted on, at most.
 SAMPLE = 20_000
@@ -73,7 +73,7 @@ def trees_for(vectors: float) -> int:
 
 def fit(unit: np.ndarray, tree: int, weight: float, spill: float) -> Tree:
     """Splits until a node stands for at most ``LEAF`` vectors (``weight`` for each sampled one),
-    has too few sampled ones, or the spill keeps nine tenths of it on one side."""
+    has too few sampled ones, or so many are near the cut that both sides have more pairs than it has."""
     out = Tree()
     projected: dict[int, np.ndarray] = {}
     todo = [(out.node(0), np.arange(len(unit)))]
@@ -87,7 +87,7 @@ def fit(unit: np.ndarray, tree: int, weight: float, spill: float) -> Tree:
         p = projected[depth][rows]
         t = float(np.median(p))
         sides = rows[p < t + spill], rows[p >= t - spill]
-        if max(map(len, sides)) > 0.9 * len(rows):
+        if sum(len(x) ** 2 for x in sides) > len(rows) ** 2:
             continue
         out.threshold[node] = t
         out.left[node], out.right[node] = out.node(depth + 1), out.node(depth + 1)
