@@ -112,8 +112,13 @@ def route(tree: Tree, number: int, unit: np.ndarray, spill: float) -> tuple[np.n
     return np.concatenate([r for r, _ in done]), np.concatenate([n for _, n in done])
 
 
+def unpacked(packed: pd.Series) -> np.ndarray:
+    """Vectors in double precision, of packed ones that begin with the number of bytes of a component."""
+    return np.stack([np.frombuffer(b, dtype=f"<f{b[0]}", offset=1) for b in packed]).astype(np.float64)
+
+
 def unit_vectors(packed: pd.Series) -> np.ndarray:
-    x = np.stack([np.frombuffer(b, dtype="<f8") for b in packed])
+    x = unpacked(packed)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -123,10 +128,13 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     some = F.exists("embedding", lambda x: x != 0)
     rows = vectors.where("vec_id is not null and label is not null and embedding is not null").where(finite & some)
 
+    # Single precision stays so on the way.
+    size = 4 if rows.schema["embedding"].dataType.elementType.typeName() == "float" else 8
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            packed = [(np.asarray(e, dtype="<f8") + 0.0).tobytes() for e in b["embedding"]]
-            yield pd.DataFrame({"vec_id": b["vec_id"], "label": b["label"], "dim": [len(p) // 8 for p in packed], "v": packed})
+            packed = [bytes([size]) + (np.asarray(e, dtype=f"<f{size}") + 0).tobytes() for e in b["embedding"]]
+            yield pd.DataFrame({"vec_id": b["vec_id"], "label": b["label"], "dim": [len(p) // size for p in packed], "v": packed})
 
     return rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding").mapInPandas(pack, "vec_id long, label string, dim int, v binary")
 
@@ -163,7 +171,7 @@ def compare(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Of one leaf, or two blocks of it: for each vector the links that count here, and the
     smallest vector it is connected to."""
     key, cross = int(part["key"].iloc[0]), int(part["i"].iloc[0]) != int(part["j"].iloc[0])
-    x = np.stack([np.frombuffer(b, dtype="<f8") for b in part["v"]])
+    x = unpacked(part["v"])
     norm = np.linalg.norm(x, axis=1)
     near = (x @ x.T) / np.outer(norm, norm) >= cosine
     np.fill_diagonal(near, False)
@@ -176,12 +184,14 @@ def compare(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
     own = np.flatnonzero(near.any(axis=1))
     near, ids, times = near[np.ix_(own, own)], ids[own], times[own]
     first = near
-    before = [(i, k) for i, b in enumerate(part["keys"].iloc[own]) for k in b.tolist() if k < key]
-    if before:
-        columns = {k: c for c, k in enumerate(sorted({k for _, k in before}))}
-        met = np.zeros((len(own), len(columns)), dtype=np.float32)
-        for i, k in before:
-            met[i, columns[k]] = 1
+    lists = part["before"].iloc[own]
+    keys, at = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *lists]), return_inverse=True)
+    if len(keys):
+        held = np.repeat(np.arange(len(own)), [len(b) for b in lists])
+        more = np.bincount(at) > 1
+        place = np.cumsum(more) - 1
+        met = np.zeros((len(own), int(more.sum())), dtype=np.float32)
+        met[held[more[at]], place[at[more[at]]]] = 1
         first = near & ~(met @ met.T > 0)
     to = ids.copy()
     while True:
@@ -244,6 +254,7 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    dealt = dealt.select(*leaf, "i", "j", "chunk", "node", "times", "v", F.filter("keys", lambda k: k < F.col("key")).alias("before"))
     found = dealt.groupBy("label", "dim", "key", "i", "j").applyInPandas(lambda part: compare(part, cosine), "node long, links long, to long")
     found = scratch.keep(found, "found")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -82,7 +82,7 @@ def test_leaves_do_not_grow_with_the_input():
     assert sizes.max() > 2 * op2.LEAF
     at = int(sizes.argmax())
     own = rows[nodes == at]
-    part = pd.DataFrame({"node": own, "label": "a", "dim": 16, "key": at, "v": [unit[i].tobytes() for i in own]})
+    part = pd.DataFrame({"node": own, "label": "a", "dim": 16, "key": at, "v": [b"\x08" + unit[i].tobytes() for i in own]})
     split = op2.split_on(part, op2.COSINE)
     assert set(split["node"]) == set(own) and split.groupby("key").size().max() <= op2.LEAF
 
