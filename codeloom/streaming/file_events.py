@@ -1,5 +1,6 @@
 """A stream of file changes below a folder, found by listing it again and again.
 
+After ``spark.dataSource.register(FileEvents)``,
 ``spark.readStream.format("codeloom-files").option("path", folder).option("state", folder).load()``
 gives ``ts``, ``path`` relative to the folder, and ``kind``: ``created``, ``changed``, ``deleted``, or one
 row ``overflow`` where a listing has more changes than ``most``. A renamed file is two rows, its old path
