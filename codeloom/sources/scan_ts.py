@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import edge_id, language, resolve_relative
@@ -156,26 +156,43 @@ class Lines:
         return line, at - self.starts[line - 1] + 1
 
 
+FIELDS = "path string, fact string, kind string, name string, owner string, start int, `end` int, line int, col int, end_line int, end_col int, signature string"
+
+
+def facts(path: str, text: str | None) -> list[tuple]:
+    """Rows of ``FIELDS`` of one file: the module, its declarations and its uses."""
+    text = text or ""
+    position = Lines(text).position
+    rows = [(path, "declaration", "module", path.rsplit("/", 1)[-1], "", 0, len(text), 1, 1, *position(len(text)), path)]
+    declared, uses = scan(text)
+    for d in declared:
+        rows.append((path, "declaration", d["kind"], d["name"], d["owner"], d["start"], d["end"], *position(d["start"]), *position(d["end"]), d["signature"]))
+    for u in uses:
+        rows.append((path, "use", u["kind"], u["name"], "", u["at"], u["at"], *position(u["at"]), *position(u["at"]), ""))
+    return rows
+
+
+class SyntaxFacts:
+    """``facts`` as a table function: ``select f.* from files, lateral syntax_facts(path, text) f``."""
+
+    def eval(self, path: str, text: str):
+        yield from facts(path, text)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes the scanner known to SQL as ``syntax_facts``."""
+    spark.udtf.register("syntax_facts", F.udtf(SyntaxFacts, returnType=FIELDS))
+
+
 def scan_files(files: DataFrame) -> DataFrame:
     """Facts of all ``files`` (``path``, ``text``), one row each: ``fact`` (declaration or use) with its fields."""
-    fields = "path string, fact string, kind string, name string, owner string, start int, `end` int, line int, col int, end_line int, end_col int, signature string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, text in zip(batch["path"], batch["text"], strict=True):
-                text = text or ""
-                position = Lines(text).position
-                last = position(len(text))
-                rows.append((path, "declaration", "module", path.rsplit("/", 1)[-1], "", 0, len(text), 1, 1, *last, path))
-                declared, uses = scan(text)
-                for d in declared:
-                    rows.append((path, "declaration", d["kind"], d["name"], d["owner"], d["start"], d["end"], *position(d["start"]), *position(d["end"]), d["signature"]))
-                for u in uses:
-                    rows.append((path, "use", u["kind"], u["name"], "", u["at"], u["at"], *position(u["at"]), *position(u["at"]), ""))
-            yield pd.DataFrame(rows, columns=[f.split()[0].strip("`") for f in fields.split(", ")])
-
-    return files.select("path", "text").mapInPandas(run, fields)
+            rows = [r for path, text in zip(batch["path"], batch["text"], strict=True) for r in facts(path, text)]
+            yield pd.DataFrame(rows, columns=[f.split()[0].strip("`") for f in FIELDS.split(", ")])
+
+    return files.select("path", "text").mapInPandas(run, FIELDS)
 
 
 def analyze(files: DataFrame, repository_id: str) -> tuple[DataFrame, DataFrame]:

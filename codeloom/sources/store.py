@@ -250,6 +250,7 @@ class Store:
 
     def _written(self, folder: str, frames: tuple[DataFrame, DataFrame], files: DataFrame | None) -> Part:
         """A part of clean rows, sorted by file."""
+        self.fault("before-part")
         for (name, schema), rows in zip(TABLES, frames, strict=True):
             columns = [c.split()[0] for c in schema.split(", ")]
             rows = rows.withColumn("file_path", normalize_path(F.col("file_path"))).select(columns).dropDuplicates()
@@ -287,6 +288,7 @@ class Store:
                     segments[m] = Segment([self._written(f"{folder}/whole-{i}", frames, None)], s.symbol_count, s.relationship_count)
             self.fault("after-compaction")
             made = Generation(sequence, generation or time.strftime("%Y%m%d%H%M%S", time.gmtime()) + f"{int(time.time() * 1000) % 1000:03d}", int(time.time() * 1000), lines, segments)
+            self.fault("before-checks")
             # Only ids that come in can collide with others.
             for name, schema in TABLES if new else ():
                 ids = [self._table(getattr(p, name), schema).select("id") for p in new]
@@ -302,11 +304,14 @@ class Store:
             made.manifest = f"manifest-{sequence}-{uuid.uuid4().hex[:8]}.json"
             self._write(made.manifest, self._sealed(body))
             self.fault("after-manifest")
+            self.fault("before-pointer")
             check()
             self._write("pointer-a.json" if sequence % 2 == 0 else "pointer-b.json", self._sealed(json.dumps({"sequence": sequence, "manifest": made.manifest})))
             self.fault("after-pointer")
+            self.fault("before-vacuum")
             self._vacuum()
             self.fault("after-vacuum")
+        self.fault("after-release")
         return made
 
     def _vacuum(self) -> None:

@@ -39,6 +39,9 @@ def test_scanner(spark):
     assert ("build", "constructs", "Square") in found and ("area", "calls", "log") in found
     assert ("shapes.ts", "imports", "log.ts") in found
     assert not any("Fake" in x for x in by_id.values())
+    scan_ts.register_functions(spark)
+    rows = spark.sql("select f.* from {files}, lateral syntax_facts(path, text) f", files=files)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, scan_ts.scan_files(files).collect()))
     assert s.select("id").distinct().count() == s.count()
 
 
