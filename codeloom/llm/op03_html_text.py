@@ -91,6 +91,21 @@ def features(tag: str, rest: str, nested: bool) -> list[str]:
     return out
 
 
+#: Words of at least so many letters are looked for at the ends of unknown ones.
+LEAST_PART = 4
+
+
+def cue_of(feature: str, cues: dict[str, float]) -> float:
+    """A feature's cue. A word that was not learned has those of the longest learned words it begins and ends with."""
+    if feature in cues or not feature.startswith("word "):
+        return cues.get(feature, 0.0)
+    word = feature[5:]
+    cuts = range(len(word) - 1, LEAST_PART - 1, -1)
+    head = next((word[:k] for k in cuts if "word " + word[:k] in cues), "")
+    tail = next((word[-k:] for k in cuts if "word " + word[-k:] in cues), "")
+    return sum(cues["word " + w] for w in {head, tail} if w)
+
+
 class Page:
     """A page's tokens: ``kinds`` to score, ``pieces`` of text (a space for a block's edge), their number
     of ``words``, and the ``elements`` they are in, numbered as they open, each with its ``parents``
@@ -106,7 +121,7 @@ class Page:
         self.parents, self.tags, self.last, self.about = [0], [""], [0], [[]]
         self.frames: list[list[int]] = [[]]
         self.factors = [1.0]
-        known: dict[tuple[str, str, bool], list[str]] = {}
+        known: dict[tuple[str, str, bool], tuple[list[str], float]] = {}
         # Open elements: tag, number, frame outside.
         stack: list[tuple[str, int, int]] = []
         depth: Counter[str] = Counter()
@@ -160,8 +175,8 @@ class Page:
                     lower = lower or source.lower()
                     end = lower.find("</" + tag, at) if len(lower) == len(source) else -1
                     if end < 0:
-                        found = re.compile("</" + tag, re.I).search(source, at)
-                        end = found.start() if found else -1
+                        closing = re.compile("</" + tag, re.I).search(source, at)
+                        end = closing.start() if closing else -1
                     if end >= 0:
                         at = end
                     elif tag in OPEN_ENDED:
@@ -182,8 +197,9 @@ class Page:
                 continue
             key = (tag, rest, bool(depth["article"] or depth["main"] or depth["section"]))
             if key not in known:
-                known[key] = features(*key)
-            cue = sum(cues.get(f, 0.0) for f in known[key])
+                found = features(*key)
+                known[key] = found, sum(cue_of(f, cues) for f in found)
+            about, cue = known[key]
             if tag in HOLDERS or cue < FRAME:
                 if tag in HOLDERS:
                     links = 0
@@ -196,7 +212,7 @@ class Page:
                 self.parents.append(element)
                 self.tags.append(tag)
                 self.last.append(0)
-                self.about.append(known[key])
+                self.about.append(about)
                 element = len(self.parents) - 1
                 stack.append((tag, element, outside))
                 depth[tag] += 1

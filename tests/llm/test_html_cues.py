@@ -33,6 +33,9 @@ FOOT = "<footer>&copy; the owners of this site, all rights reserved</footer>"
         f"<div class='sidebar left'><p>Words at the side of it</p></div><div class='left'>{BODY}</div>",
         f"<article>{BODY[:18]}<div class='ad'>Buy now</div>{BODY[18:]}<div id='share'>Share it</div></article>",
         f"<div hidden><p>{TEXT}</p></div><div>{BODY}</div>",
+        f"<article>{BODY}<ol class='commentlist'><li>I liked it very much indeed</li></ol><div class='newsletterbox'>Write to us now</div></article>",
+        f"<div class='postbody'>{BODY}</div><div class='sidenav'><p>Some words at the side of the page here</p></div>",
+        f"<div class='shareholders'>{BODY}</div>",
     ],
 )
 def test_the_article_is_the_text(main):
