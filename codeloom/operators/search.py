@@ -123,6 +123,38 @@ def index_of(symbols: DataFrame) -> Index:
     return Index(terms, lexeme_df(symbols), corpus_totals(symbols))
 
 
+#: The postings of a token are read first if they are at most so many, or one in ``SHARE`` of all symbols.
+FEW, SHARE = 10_000, 20
+
+
+def held_by(token: str) -> Column:
+    """Whether a lexeme has a token as ``has_token`` asks for it. Tokens are letters and digits, so each is
+    within one run of a field, and the lower-cased run is a lexeme."""
+    lexeme = F.col("lexeme")
+    return F.instr(lexeme, token) > 0 if len(token) >= 3 else lexeme.startswith(token) if len(token) == 2 else lexeme == token
+
+
+def lexicon_counts(index: Index, terms: list[str]) -> tuple[dict[str, int], dict[str, int]]:
+    """By token of a query: the symbols that have it as a lexeme, and the postings of all lexemes that hold it."""
+    own = [F.coalesce(F.sum(F.when(F.col("lexeme") == t, F.col("df"))), F.lit(0)).alias(f"d{i}") for i, t in enumerate(terms)]
+    all_of = [F.coalesce(F.sum(F.when(held_by(t), F.col("df"))), F.lit(0)).alias(f"h{i}") for i, t in enumerate(terms)]
+    row = index.lexicon.agg(*own, *all_of).first()
+    return {t: row[f"d{i}"] for i, t in enumerate(terms)}, {t: row[f"h{i}"] for i, t in enumerate(terms) if regex.fullmatch(r"[\p{L}\p{Nd}]+", t)}
+
+
+def candidates(rows: DataFrame, index: Index, held: dict[str, int], n: int) -> DataFrame:
+    """The rows that can have all tokens, by the postings of the rarest one, or all rows where it isn't rare."""
+    if not held:
+        return rows
+    rarest = min(held, key=held.get)
+    if not held[rarest]:
+        return rows.limit(0)
+    if held[rarest] > max(FEW, n // SHARE):
+        return rows
+    found = index.terms.join(index.lexicon.where(held_by(rarest)).select("lexeme"), "lexeme", "left_semi")
+    return rows.join(found.select("id"), "id", "left_semi")
+
+
 def scored(symbols: DataFrame, query: str, index: Index | None = None, **filters) -> DataFrame:
     """All hits with ``score``. The corpus of BM25 is all of ``symbols``, whatever the filters. Only the
     postings of the query's tokens are read, and joined to the hits alone. With an ``index``
@@ -137,9 +169,8 @@ def scored(symbols: DataFrame, query: str, index: Index | None = None, **filters
     index = index or index_of(symbols)
     totals = index.corpus.first()
     mean = max(1.0, totals["total_length"] / totals["n"]) if totals["n"] else 1.0
-    # A row for each token of the query at most.
-    counts = {r["lexeme"]: r["df"] for r in index.lexicon.where(F.col("lexeme").isin(terms)).collect()}
-    hits = rows.where(matches(query))
+    counts, held = lexicon_counts(index, terms)
+    hits = candidates(rows, index, held, totals["n"]).where(matches(query))
     if "length" not in hits.columns:
         hits = hits.withColumn("length", document_length())
     each = [F.max(F.when(F.col("lexeme") == t, F.col("frequency"))).alias(f"f{i}") for i, t in enumerate(terms)]
