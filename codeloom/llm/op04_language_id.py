@@ -150,7 +150,8 @@ def language(profiles: Profiles, text: str = "text") -> Column:
             yield pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang", "score"])
         give_back()
 
-    return predict(F.col(text))
+    # Else a filter on the result would have the texts sent to Python twice.
+    return predict.asNondeterministic()(F.col(text))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
