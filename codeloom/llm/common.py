@@ -147,7 +147,11 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int | None = None, each: int = ROWS_IN_TASK) -> DataFrame:
+        """Writes a table and reads it. ``rows`` is about how many rows decide its size; a small table then has
+        few files, whatever the number of shuffle partitions, with ``each`` of them in a task."""
+        if rows is not None:
+            df = df.coalesce(max(LEAST_TASKS, rows // each))
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

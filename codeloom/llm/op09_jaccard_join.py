@@ -42,6 +42,8 @@ PARITY = tuple(f"b{i}" for i in range(8))
 PAIRS_PER_ENTRY = 64
 PIVOT_ROUNDS = 6
 CACHE_WORDS = 400_000
+#: A task that has sets of documents writes so many at least, where there are as many.
+DOCS_IN_TASK = 5000
 #: Bounds of a batch, whose documents have 16-bit numbers.
 BATCH_TOKENS = 1_000_000
 BATCH_DOCS = 60_000
@@ -298,10 +300,9 @@ def assembled(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     return pd.DataFrame(found | {c: bits[:, i] for i, c in enumerate(PARITY)})
 
 
-def shingle_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """A row of ``SETS`` per row of ``docs`` (``doc_id``, ``text``)."""
-    bytes_read = docs.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
-    ranges = max(LEAST_TASKS, bytes_read // RANGE_BYTES)
+def shingle_sets(docs: DataFrame, text_bytes: int, width: int, num: int, den: int) -> DataFrame:
+    """A row of ``SETS`` per row of ``docs`` (``doc_id``, ``text``) with so many bytes of text."""
+    ranges = max(LEAST_TASKS, text_bytes // RANGE_BYTES)
     tasks = min(MOST_TASKS, ranges)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,14 +359,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    base = scratch.keep(shingle_sets(docs.select("doc_id", "text"), width, num, den), "base")
+    docs = docs.select("doc_id", "text")
+    size = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    base = scratch.keep(shingle_sets(docs, size["bytes"], width, num, den), "base", size["rows"], DOCS_IN_TASK)
     release(spark)
     side = ("node", "component", "n", "pos", *PARITY)
 
     # Equal sets have equal columns, so any row's do.
     wanted = ("n", "matches", "shared", "prefix", "pos", *PARITY)
     live = base.where("shared is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in wanted])
-    nodes = scratch.keep(live.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = scratch.keep(live.withColumn("node", F.monotonically_increasing_id()), "nodes", size["rows"], DOCS_IN_TASK)
+    n = nodes.count()
 
     def entries(joined: DataFrame | None) -> DataFrame:
         about = nodes.select("node", "n", "matches", "prefix", F.col("pos").alias("places"), *PARITY)
@@ -385,14 +389,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
             about = F.when(~F.col("inner"), about)
         pivots = found.groupBy("token").agg(F.count("*").alias("size"), F.min(about).alias("p")).where("size > 1 and p is not null").select("token", F.col("p").alias("y"))
         pairs = found.select("token", F.struct(*side).alias("x")).join(pivots, "token").where("x.component <> y.component").where(fits("x", "y", num, den))
-        pairs = scratch.keep(pairs.select(*ordered("x.node", "y.node")).distinct(), f"pairs{turn}")
-        new = scratch.keep(verified(pairs, nodes, num, den), f"links{turn}")
+        pairs = scratch.keep(pairs.select(*ordered("x.node", "y.node")).distinct(), f"pairs{turn}", n)
+        new = scratch.keep(verified(pairs, nodes, num, den), f"links{turn}", n)
         links = new if links is None else links.unionByName(new)
         tried = pairs if tried is None else tried.unionByName(pairs)
         joined = components(links)
         found = entries(joined)
         mixed = main_components(found).where("size > most")
-        found = scratch.keep(found.join(mixed, "token").withColumn("inner", F.col("component") == F.col("main")), f"mixed{turn}")
+        found = scratch.keep(found.join(mixed, "token").withColumn("inner", F.col("component") == F.col("main")), f"mixed{turn}", n, DOCS_IN_TASK)
         left = found.agg(F.count("*").alias("n"), F.sum(F.when(~F.col("inner"), F.col("size"))).alias("cost")).first()
         if (left["cost"] or 0) <= pairs_per_entry * left["n"] or new.isEmpty():
             break
@@ -402,13 +406,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     pairs = x.join(y, "token").where("(y_inner or x.node < y.node) and x.component <> y.component").where(fits("x", "y", num, den))
     ends = pairs.select(*ordered("x.node", "y.node"), F.least("x.matches", "y.matches").alias("m"))
     counted = ends.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("m").alias("least")).where("n >= least").select("a", "b")
-    pairs = scratch.keep(counted.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(scratch.keep(verified(pairs, nodes, num, den), "links"))
+    pairs = scratch.keep(counted.join(tried, ["a", "b"], "left_anti"), "pairs", n)
+    links = links.unionByName(scratch.keep(verified(pairs, nodes, num, den), "links", n))
 
     ids = nodes.select("node", "rep", "k1", "k2").join(components(links).withColumnRenamed("id", "node"), "node", "left")
     ids = ids.withColumn("component", F.coalesce("component_id", "node")).drop("component_id")
     least = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labelled = scratch.keep(ids.join(least, "component").select("k1", "k2", "component_id"), "labelled")
+    labelled = scratch.keep(ids.join(least, "component").select("k1", "k2", "component_id"), "labelled", n)
     scratch.drop("nodes", "pairs", "links", *[f"{t}{k}" for k in range(turn + 1) for t in ("pairs", "links", "mixed")])
     # Only these rows can have a link, so only they meet others of the same set.
     alike = base.where("shared is not null").select("doc_id", "n", "k1", "k2").join(labelled, ["k1", "k2"], "left").select("doc_id", "n", "component_id")
